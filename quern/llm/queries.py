@@ -1,8 +1,10 @@
 """The registered opN_ queries and their DuckDB SQL, where SQL can express them."""
 
 from quern.llm.exact_dedup import ORACLE_OP5, op5_exact_dedup
+from quern.llm.secret_scan import op3_secret_scan
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
