@@ -1,9 +1,11 @@
 """The registered opN_ queries and their DuckDB SQL, where SQL can express them."""
 
 from quern.llm.exact_dedup import ORACLE_OP5, op5_exact_dedup
+from quern.llm.packing import op1_best_fit_packing
 from quern.llm.secret_scan import op3_secret_scan
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
 }
