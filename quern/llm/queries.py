@@ -3,11 +3,13 @@
 from quern.llm.exact_dedup import ORACLE_OP5, op5_exact_dedup
 from quern.llm.packing import op1_best_fit_packing
 from quern.llm.secret_scan import op3_secret_scan
+from quern.llm.url_filter import op8_url_filter
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_url_filter": op8_url_filter,
 }
 
 ORACLES = {
