@@ -1,6 +1,7 @@
 """The registered opN_ queries and their DuckDB SQL, where SQL can express them."""
 
 from quern.llm.exact_dedup import ORACLE_OP5, op5_exact_dedup
+from quern.llm.language_id import op4_language_id
 from quern.llm.packing import op1_best_fit_packing
 from quern.llm.secret_scan import op3_secret_scan
 from quern.llm.url_filter import op8_url_filter
@@ -8,6 +9,7 @@ from quern.llm.url_filter import op8_url_filter
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_url_filter": op8_url_filter,
 }
