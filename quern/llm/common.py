@@ -58,3 +58,29 @@ def lower_ascii(col):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of one block of a membership filter: what bitmap_construct_agg packs into 4 KiB.
+BLOCK_BITS = 32768
+
+
+def hash_filter(hashes: DataFrame, max_blocks: int = 8192, bits_per_key: int = 32) -> tuple[DataFrame, int]:
+    """A one-hash Bloom filter of the long column ``h``: (block, bits) rows, 32 MiB at most, and the block count."""
+    blocks, keys = 1, hashes.count() * bits_per_key
+    while blocks < max_blocks and blocks * BLOCK_BITS < keys:
+        blocks *= 2
+    placed = hashes.select(F.expr(f"pmod(h, {blocks}L)").alias("block"), F.expr(f"shiftrightunsigned(h, 24) & {BLOCK_BITS - 1}L").alias("pos"))
+    return placed.groupBy("block").agg(F.bitmap_construct_agg("pos").alias("bits")), blocks
+
+
+def maybe_in(df: DataFrame, hash_col: str, bloom: tuple[DataFrame, int], flag: str) -> DataFrame:
+    """``df`` with ``flag``: false only where the hash is surely not in the filter. The filter is broadcast (bounded)."""
+    bits, blocks = bloom
+    b, bm = free_name(df, "filter_block"), free_name(df, "filter_bits")
+    probed = df.withColumn(b, F.expr(f"pmod(`{hash_col}`, {blocks}L)")).join(
+        F.broadcast(bits.select(F.col("block").alias(b), F.col("bits").alias(bm))), b, "left"
+    )
+    pos = F.expr(f"shiftrightunsigned(`{hash_col}`, 24) & {BLOCK_BITS - 1}L")
+    byte = F.conv(F.hex(F.substring(F.col(bm), (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    hit = F.col(bm).isNotNull() & (F.getbit(byte, (pos % 8).cast("int")) == 1)
+    return probed.withColumn(flag, F.coalesce(hit, F.lit(False))).select(*[F.col(f"`{c}`") for c in df.columns], flag)

@@ -2,6 +2,7 @@
 
 from quern.llm.exact_dedup import ORACLE_OP5, op5_exact_dedup
 from quern.llm.language_id import op4_language_id
+from quern.llm.minhash import op7_minhash_dedup
 from quern.llm.packing import op1_best_fit_packing
 from quern.llm.secret_scan import op3_secret_scan
 from quern.llm.url_filter import op8_url_filter
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_url_filter": op8_url_filter,
 }
 
