@@ -6,9 +6,11 @@ from quern.llm.minhash import op7_minhash_dedup
 from quern.llm.packing import op1_best_fit_packing
 from quern.llm.secret_scan import op3_secret_scan
 from quern.llm.url_filter import op8_url_filter
+from quern.llm.vector_search import op2_vector_search
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_vector_search": op2_vector_search,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
