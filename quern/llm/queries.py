@@ -5,6 +5,7 @@ from quern.llm.language_id import op4_language_id
 from quern.llm.minhash import op7_minhash_dedup
 from quern.llm.packing import op1_best_fit_packing
 from quern.llm.secret_scan import op3_secret_scan
+from quern.llm.suffix_dedup import op6_suffix_dedup
 from quern.llm.url_filter import op8_url_filter
 from quern.llm.vector_search import op2_vector_search
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_url_filter": op8_url_filter,
 }
