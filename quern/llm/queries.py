@@ -4,6 +4,7 @@ from quern.llm.exact_dedup import ORACLE_OP5, op5_exact_dedup
 from quern.llm.language_id import op4_language_id
 from quern.llm.minhash import op7_minhash_dedup
 from quern.llm.packing import op1_best_fit_packing
+from quern.llm.piece_codec import op9_sentencepiece
 from quern.llm.secret_scan import op3_secret_scan
 from quern.llm.suffix_dedup import op6_suffix_dedup
 from quern.llm.url_filter import op8_url_filter
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLES = {
