@@ -2,6 +2,7 @@
 
 from quern.llm.exact_dedup import ORACLE_OP5, op5_exact_dedup
 from quern.llm.language_id import op4_language_id
+from quern.llm.line_dedup import ORACLE_OP10, op10_line_dedup
 from quern.llm.minhash import op7_minhash_dedup
 from quern.llm.packing import op1_best_fit_packing
 from quern.llm.piece_codec import op9_sentencepiece
@@ -20,8 +21,10 @@ QUERIES = {
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
     "op5_exact_dedup": ORACLE_OP5,
+    "op10_line_dedup": ORACLE_OP10,
 }
