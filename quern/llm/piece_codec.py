@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from quern.llm.common import table
 
 SPACE = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: What a byte piece costs beyond the least score of a piece.
 BYTE_COST = 10.0
 
@@ -56,20 +56,23 @@ class PieceCodec:
         self.byte_score = least - BYTE_COST
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for i, p in enumerate(self.pieces) if not special[i])
         self.word = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
+        #: What each piece stands for, in bytes.
+        self.body = [bytes([int(p[3:5], 16)]) if self.is_byte[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.cache: dict[str, bytes] = {}
 
     def best(self, word: str, literal: frozenset[int] = frozenset()) -> list[int]:
         """Ids of the best pieces of a word; places in ``literal`` are only written in bytes."""
         n = len(word)
-        score = [0.0] + [float("-inf")] * n
-        piece: list[tuple[int, int]] = [(-1, 0)] * (n + 1)
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
+        score, piece = [0.0] * (n + 1), [(-1, 1)] * (n + 1)
+        ends: dict[int, list[tuple[int, int, float]]] = {}
         for end, value in self.automaton.iter(word):
-            ends[end].append(value)
+            ends.setdefault(end, []).append(value)
         for end in range(n):
-            size = len(word[end].encode("utf-8", "surrogatepass"))
-            top, how = score[end] + size * self.byte_score, (-1, 1)
-            for i, length, s in sorted(ends[end], key=lambda v: -v[1]):
+            c = word[end]
+            top = score[end] + (self.byte_score if c < "\x80" else len(c.encode("utf-8", "surrogatepass")) * self.byte_score)
+            how = (-1, 1)
+            # The output links lead from the longest piece to the shortest.
+            for i, length, s in ends.get(end, ()):
                 start = end + 1 - length
                 if literal and any(start <= x <= end for x in literal):
                     continue
@@ -114,18 +117,7 @@ class PieceCodec:
         return b"".join(map(self._word, self.word.findall(SPACE + text.replace(" ", SPACE))))
 
     def decode(self, ids: bytes) -> str:
-        out, held = [], bytearray()
-        for i in array("I", ids):
-            if self.is_byte[i]:
-                held.append(int(self.pieces[i][3:5], 16))
-                continue
-            if held:
-                out.append(held.decode("utf-8", "surrogatepass"))
-                held.clear()
-            out.append(self.pieces[i].replace(SPACE, " "))
-        if held:
-            out.append(held.decode("utf-8", "surrogatepass"))
-        text = "".join(out)
+        text = b"".join(map(self.body.__getitem__, array("I", ids))).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
