@@ -5,11 +5,11 @@
 2. Banding: sets that agree on a whole band of minima share a bucket.
 3. In each bucket all members are compared with its representative - by signature, then
    exactly on full sets - and links become components (large-star, small-star). Buckets
-   whose members are by then in one component are done. In the others further
-   representatives, eight times as many each round, are compared with the members of
-   other components, until every pair of a bucket was compared or is connected. So no
-   link that banding proposes is lost, and no group is ever gathered in one task or
-   expanded into all pairs.
+   whose members are by then in one component are done.
+4. The others are cut into blocks of about ``BLOCK`` sets; each pair of blocks is a cell of
+   its own, which compares the full sets of different components and returns no more
+   links than join them. So no link that banding proposes is lost, a large bucket is dealt
+   over many tasks of bounded size, and its pairs are never rows.
 
 With 30 bands of 5 a pair at similarity 0.85 shares no bucket with probability 2e-8, and
 one at 0.8 with 7e-6. The signature test lets pass what is within six standard errors.
@@ -37,6 +37,10 @@ from quern.llm.components import connected_components
 BANDS, ROWS = 30, 5
 SHINGLE = 5
 CHARS = 4_000_000
+#: Sets in a block of a bucket; two blocks are compared at a time.
+BLOCK = 256
+#: Largest dense incidence matrix of a cell; beyond it pairs are intersected one by one.
+DENSE = 40_000_000
 _U = np.uint64
 _BASE, _SEED = _U(0x9E3779B97F4A7C15), 20240517
 
@@ -213,6 +217,76 @@ def _linked(pairs: DataFrame, sets: DataFrame, df: DataFrame, width: int, part:
     return both.mapInArrow(test, "u long, v long")
 
 
+def _cell_links(left: DataFrame, sets: DataFrame, df: DataFrame, width: int, part: tuple[int, int]) -> DataFrame:
+    """Links (u, v) between components, from members (key, uid, comp, c) of buckets of c members."""
+    ends = left.select(F.col("uid").alias("end")).distinct()
+    wanted = materialize(sets.join(ends, sets.uid == F.col("end"), "left_semi").select("uid", "th", "digest"), "wanted")
+    full = materialize(_full_sets(df, wanted, width), "full-sets").withColumnRenamed("uid", "id")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    placed = left.select("key", "uid", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("uid"), blocks).cast("int").alias("i"))
+    cells = placed.select("key", "uid", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    cells = cells.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "uid", "comp")
+    met = cells.join(full, F.col("uid") == F.col("id")).select("cell", "comp", "members")
+    dealt = met.repartition("cell").sortWithinPartitions("cell")
+
+    def links(comps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        root = {c: c for c in comps}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        n, sizes = len(sets), np.array([len(s) for s in sets])
+        _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1)
+        dense = n * int(shared[-1]) <= DENSE
+        if dense:
+            x = np.zeros((n, int(shared[-1]) + 1), np.float32)
+            common = times[code] > 1
+            x[np.repeat(np.arange(n), sizes)[common], shared[code[common]]] = 1
+            same = (x @ x.T).astype(np.int64)
+            hit = np.triu(part[1] * same >= part[0] * (sizes[:, None] + sizes - same), 1)
+            pairs = zip(*(a.tolist() for a in np.nonzero(hit)))
+        else:
+            pairs = ((i, j) for i in range(n) for j in range(i + 1, n))
+        out = []
+        for i, j in pairs:
+            a, b = find(comps[i]), find(comps[j])
+            if a == b:
+                continue
+            if not dense:
+                k = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if part[1] * k < part[0] * (sizes[i] + sizes[j] - k):
+                    continue
+            root[max(a, b)] = min(a, b)
+            out.append((comps[i], comps[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, comps, sets = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            found = links(comps, sets) if len(set(comps)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for b in batches:
+            for cell, comp, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if cell != last and comps:
+                    out = flush()
+                    if out.num_rows:
+                        yield out
+                    comps, sets = [], []
+                last = cell
+                comps.append(comp)
+                sets.append(np.frombuffer(body, np.uint64))
+        if comps:
+            yield flush()
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: tuple[int, int] = (85, 100), width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -226,34 +300,21 @@ def near_duplicates(
     shared = maybe_in(by_key, "key", hash_filter(buckets.select(F.col("key").alias("h"))), "shared").where("shared")
     members = materialize(shared.join(buckets.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "uid", "rep"), "members")
 
-    least = part[0] / part[1]
-    links, pool, reps, many = None, members.select("key", "uid"), None, 1
-    pairs = members.where("uid <> rep").select(F.col("rep").alias("u"), F.col("uid").alias("v"))
-    tested = members.select("key", F.col("rep").alias("done")).distinct()
-    labels = None
-    while True:
-        pairs = materialize(pairs.distinct(), "pairs")
-        hits = materialize(_similar_signatures(pairs, sets, least), "similar")
-        found = materialize(_linked(hits, sets, docs, width, part), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = materialize(connected_components(links), "labels")
-        # What was compared with a whole bucket leaves it; buckets within one component are done.
-        pool = pool.join(tested, (pool.key == tested.key) & (pool.uid == F.col("done")), "left_anti")
-        marked = pool.join(labels, pool.uid == labels.node, "left").select("key", "uid", F.coalesce("component", "uid").alias("comp"))
-        marked = materialize(marked, "marked")
-        open_ = marked.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
-        open_ = materialize(open_, "open")
-        pool = materialize(marked.join(open_, F.col("key") == F.col("k"), "left_semi"), "pool")
-        if pool.isEmpty():
-            break
-        many *= 8
-        reps = pool.groupBy("key", F.expr(f"pmod(xxhash64(uid), {many})").alias("slot")).agg(F.min(F.struct("uid", "comp")).alias("r"))
-        reps = materialize(reps.select(F.col("key").alias("k"), F.col("r.uid").alias("rep"), F.col("r.comp").alias("rep_comp")), "reps")
-        pairs = pool.join(reps, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("rep_comp"))).select(F.col("rep").alias("u"), F.col("uid").alias("v"))
-        # Either order of a pair is one pair.
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        tested = reps.select(F.col("k").alias("key"), F.col("rep").alias("done"))
-        pool = pool.select("key", "uid")
+    pairs = materialize(members.where("uid <> rep").select(F.col("rep").alias("u"), F.col("uid").alias("v")).distinct(), "pairs")
+    hits = materialize(_similar_signatures(pairs, sets, part[0] / part[1]), "similar")
+    labels = materialize(connected_components(materialize(_linked(hits, sets, docs, width, part), "links")), "labels")
+    # The representative was compared with its whole bucket; buckets within one component are done.
+    pool = members.where("uid <> rep").select("key", "uid")
+    marked = materialize(pool.join(labels, pool.uid == labels.node, "left").select("key", "uid", F.coalesce("component", "uid").alias("comp")), "marked")
+    open_ = marked.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("k", "c")
+    left = materialize(marked.join(materialize(open_, "open"), F.col("key") == F.col("k")).select("key", "uid", "comp", "c"), "left")
+    if not left.isEmpty():
+        more = connected_components(materialize(_cell_links(left, sets, docs, width, part), "cell-links"))
+        more = materialize(more.select(F.col("node").alias("from"), F.col("component").alias("to")), "joined")
+        # Links of the second kind join components; a component or a lone set may be named by them.
+        old = labels.join(more, labels.component == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
+        alone = more.join(labels, F.col("from") == labels.node, "left_anti").select(F.col("from").alias("node"), F.col("to").alias("component"))
+        labels = materialize(old.unionByName(alone), "labels")
 
     grouped = sets.join(labels, sets.uid == labels.node, "left").select("digest", "least_id", F.coalesce("component", "uid").alias("component"))
     grouped = materialize(grouped, "set-components")
