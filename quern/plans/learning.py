@@ -389,9 +389,11 @@ MLP = f"{V}, h AS (SELECT vec_id, label, {H} AS h FROM v), z AS (SELECT *, {OUT}
 
 def mlp_rows(spark, d):
     v = vectors(spark, d)
-    h = v.select("vec_id", "label", F.array(*[X.sigmoid(X.dot("x", weight_vector(i)) + i / 10) for i in range(3)]).alias("h"))
-    z = h.select("*", F.array(*[sum(F.get("h", F.lit(i)) * weight(o, i) for i in range(3)) + o / 20 for o in range(10)]).alias("z"))
-    return z.select("vec_id", "label", "h", X.softmax("z").alias("o"))
+    hidden = F.array(*[X.sigmoid(X.dot("x", weight_vector(i)) + i / 10) for i in range(3)])
+    out = lambda h: F.array(*[sum(F.get(h, F.lit(i)) * weight(o, i) for i in range(3)) + o / 20 for o in range(10)])
+    # Bound once by the lambda: inlined, the hidden layer would be computed anew for each of its 30 uses.
+    layers = F.transform(F.array(hidden), lambda h: F.struct(h.alias("h"), out(h).alias("z")))
+    return v.select("vec_id", "label", F.explode(layers).alias("n")).select("vec_id", "label", "n.h", X.softmax("n.z").alias("o"))
 
 
 @query(f"WITH {MLP}, e AS (SELECT vec_id, unnest(range(10)) AS pos, unnest(o) AS y FROM o) SELECT vec_id, pos, round(y, 6) AS value FROM e")
