@@ -8,10 +8,10 @@ input. Exact, and in these steps:
    Equal strings have equal anchors at equal places, so strings only have to be compared
    where anchors repeat. Consecutive strings of one anchor form a segment, about 30 strings
    on average. A first pass counts anchors; those seen twice form a filter of bounded size.
-2. A second pass emits the segments of repeated anchors, with their bytes. Equal segments
+2. A second pass emits the segments of repeated anchors, as places and hashes. Equal segments
    are one from here on, known by the first: of the others every byte goes, at once.
-3. What is left are different segments of one anchor - the ends of matches. They are
-   dealt out by anchor, and each task builds run-compressed Burrows-Wheeler indexes of a few
+3. What is left are different segments of one anchor - the ends of matches. A third pass
+   reads their bytes, they are dealt out by anchor, and each task builds run-compressed Burrows-Wheeler indexes of a few
    megabytes, in which every segment is streamed to find which of its strings an earlier
    segment has (run_index). Segments of an anchor that has more of them than ``crowd`` go by
    the hashes of their strings instead, pre-aggregated, so that no anchor fills a task.
@@ -38,8 +38,8 @@ from quern.llm.run_index import RunIndex
 
 LENGTH, GRAM = 100, 40
 #: Bytes that are looked at together; longer texts are looked at in overlapping parts.
-CHUNK = 2_000_000
-INDEX_BYTES = 4_000_000
+CHUNK = 1_000_000
+INDEX_BYTES = 1_500_000
 #: Different segments of one anchor beyond which their strings are hashed.
 CROWD = 2000
 _U = np.uint64
@@ -139,30 +139,60 @@ def _repeated_anchors(raw: DataFrame, length: int, gram: int) -> DataFrame:
     return raw.select("body").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-def _occurrences(raw: DataFrame, anchors: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, uid, start, strings, anchor, digest, body of the segments whose anchor may repeat."""
-    bits, blocks = hash_filter(anchors)
+def _bitmap(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """The filter of common.hash_filter() as one array: 32 MiB at most."""
+    bits, blocks = hash_filter(hashes)
     bitmap = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
     for r in bits.collect():  # bounded: 8192 blocks of 4 KiB at most
         at = r["block"] * BLOCK_BITS // 8
         bitmap[at : at + BLOCK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return bitmap, blocks
+
+
+def _known(bitmap: np.ndarray, blocks: int, h: np.ndarray) -> np.ndarray:
+    pos = (h.view(np.uint64) >> _U(24)).astype(np.int64) & (BLOCK_BITS - 1)
+    place = (h % blocks) * BLOCK_BITS + pos
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def _occurrences(raw: DataFrame, anchors: DataFrame, length: int, gram: int) -> DataFrame:
+    """doc_id, uid, start, strings, anchor, digest of the segments whose anchor may repeat."""
+    bitmap, blocks = _bitmap(anchors)
     shared = raw.sparkSession.sparkContext.broadcast(bitmap)
     kind = raw.schema["doc_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for b in batches:
             for parts in _chunks(b.column(2).to_pylist(), length):
                 s = Segments(parts, length, gram)
-                pos = (s.anchor.view(np.uint64) >> _U(24)).astype(np.int64) & (BLOCK_BITS - 1)
-                place = (s.anchor % blocks) * BLOCK_BITS + pos
-                keep = np.flatnonzero((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                keep = np.flatnonzero(_known(shared.value, blocks, s.anchor))
                 if len(keep):
                     rows = pa.array(s.row[keep])
-                    columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array(s.start[keep]), pa.array(s.strings[keep]), pa.array(s.anchor[keep]), pa.array(s.digests(keep)), pa.array(s.bytes_of(keep), pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "uid", "start", "strings", "anchor", "digest", "body"])
+                    columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array(s.start[keep]), pa.array(s.strings[keep]), pa.array(s.anchor[keep]), pa.array(s.digests(keep))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "uid", "start", "strings", "anchor", "digest"])
+
+    return raw.mapInArrow(emit, f"doc_id {kind}, uid long, start long, strings long, anchor long, digest long")
+
+
+def _bodies(raw: DataFrame, mixed: DataFrame, length: int, gram: int) -> DataFrame:
+    """anchor, first, kinds, body of the segments ``mixed`` (anchor, digest, first, kinds), read from the texts anew."""
+    # Segments are known by place and hash; the same in numpy below.
+    name = F.shiftleft("first.uid", 20).bitwiseXOR(F.col("first.start")).bitwiseXOR(F.col("digest"))
+    bitmap, blocks = _bitmap(mixed.select(name.alias("h")))
+    shared = raw.sparkSession.sparkContext.broadcast(bitmap)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            uids = b.column(0).to_numpy()
+            for parts in _chunks(b.column(1).to_pylist(), length):
+                s = Segments(parts, length, gram)
+                h = (uids[s.row] << 20) ^ s.start ^ s.digests(np.arange(len(s.at)))
+                keep = np.flatnonzero(_known(shared.value, blocks, h))
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[s.row[keep]]), pa.array(s.start[keep]), pa.array(s.bytes_of(keep), pa.binary())], ["u", "s", "body"])
 
-    return raw.mapInArrow(emit, f"doc_id {kind}, uid long, start long, strings long, anchor long, digest long, body binary")
+    read = raw.select("uid", "body").mapInArrow(emit, "u long, s long, body binary")
+    return mixed.join(read, (F.col("first.uid") == F.col("u")) & (F.col("first.start") == F.col("s"))).select("anchor", "first", "kinds", "body")
 
 
 def _indexed(segments: DataFrame, length: int) -> DataFrame:
@@ -226,14 +256,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     occ = materialize(_occurrences(raw, materialize(_repeated_anchors(raw, length, gram), "anchors"), length, gram), "segments")
     first = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "uid", "start")
     order = F.struct(~F.col("doc_id").isNull(), "doc_id", "uid", "start")
-    kinds = occ.groupBy("anchor", "digest").agg(F.min_by(first, order).alias("first"), F.first("body").alias("body"), F.count(F.lit(1)).alias("n"))
+    kinds = occ.groupBy("anchor", "digest").agg(F.min_by(first, order).alias("first"), F.count(F.lit(1)).alias("n"))
     kinds = materialize(kinds, "kinds")
     copied = materialize(kinds.where("n > 1").select(F.col("anchor").alias("a"), F.col("digest").alias("g"), "first.uid", "first.start").withColumnsRenamed({"uid": "fu", "start": "fs"}), "copied")
     copies = occ.select("anchor", "digest", "uid", "start", "strings").join(copied, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("g")))
     copies = copies.where("uid <> fu or start <> fs").select("uid", F.col("start").alias("b"), (F.col("start") + F.col("strings") + length - 1).alias("e"))
     many = materialize(kinds.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed")
-    mixed = kinds.select("anchor", "first", "body").join(many, F.col("anchor") == F.col("a"))
-    ends = _indexed(mixed.where(F.col("kinds") <= crowd).select("anchor", "first", "body"), length).unionByName(_hashed(mixed.where(F.col("kinds") > crowd).select("anchor", "first", "body"), length))
+    mixed = materialize(kinds.join(many, F.col("anchor") == F.col("a")).select("anchor", "digest", "first", "kinds"), "mixed-kinds")
+    bodies = materialize(_bodies(raw, mixed, length, gram), "bodies")
+    ends = _indexed(bodies.where(F.col("kinds") <= crowd).select("anchor", "first", "body"), length).unionByName(_hashed(bodies.where(F.col("kinds") > crowd).select("anchor", "first", "body"), length))
     spans = copies.unionByName(ends)
     return materialize(spans.groupBy("uid").agg(F.collect_list(F.struct("b", "e")).alias("spans")), "spans")  # a row's own spans
 
