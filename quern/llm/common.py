@@ -46,14 +46,18 @@ def text_or_empty(col):
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+#: Characters beyond ASCII that lower() might change: capitals, letter-like numbers and signs, unassigned ones.
+MAY_CHANGE = r"[^\x00-\x7F&&[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}]]"
+
+
 def lower_ascii(col):
     """Lower-case A-Z and nothing else.
 
-    lower() has a fast path for ASCII strings and is the same there; other texts
-    take the slower character map.
+    lower() is the same where no other character of the text can change, and much faster
+    than the character map that the other texts take.
     """
     ascii_only = F.octet_length(col) == F.char_length(col)
-    return F.when(ascii_only, F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
+    return F.when(ascii_only | ~col.rlike(MAY_CHANGE), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import queries
-from quern.llm.common import materialize
+from quern.llm.common import lower_ascii, materialize
 from quern.llm.exact_dedup import drop_exact_copies, exact_copies
 from quern.llm.language_id import identify_languages, keep_identified
 from quern.llm.line_dedup import drop_lines
@@ -370,3 +371,13 @@ def test_oracles(spark, sf, name):
     assert sorted(got) == sorted(want)
     cols = sorted(got)
     assert sorted(map(str, got[cols].astype(object).values.tolist())) == sorted(map(str, want[cols].astype(object).values.tolist()))
+
+
+def test_lower_ascii_every_character(spark):
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(chars[i : i + 64]) for i in range(0, len(chars), 64)] + ["ÄİΣ ABC", "äöü XYZ ß", "ABC z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", lower_ascii(F.col("text")).alias("low")).collect()
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    assert [r["low"] for r in rows] == [t.translate(fold) for t in texts]
+    each = spark.createDataFrame([(f"A{c}B",) for c in chars], "text string").select("text", lower_ascii(F.col("text")).alias("low"))
+    assert each.where(F.col("low") != F.concat(F.lit("a"), F.substring("text", 2, 1), F.lit("b"))).count() == 0
