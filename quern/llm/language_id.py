@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_name, table
+from quern.llm.common import free_name, small_batches, table
 
 #: Script, first and last code point; other letters are script 0.
 SCRIPTS = [
@@ -223,7 +223,7 @@ def fit_language_model(examples: DataFrame, per_language: int = PER_LANGUAGE, sw
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), what)), pa.array(x), pa.array(y), pa.array(table_[x, y])], ["what", "lang", "bucket", "n"])
 
     # At most languages x buckets rows, whatever the corpus.
-    rows = picked.mapInArrow(count, "what long, lang long, bucket long, n double").groupBy("what", "lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = small_batches(picked).mapInArrow(count, "what long, lang long, bucket long, n double").groupBy("what", "lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     grams, uses = np.zeros((len(languages), len(ORDERS) * BUCKETS)), np.zeros((len(languages), scripts))
     for what, target in ((0, grams), (1, uses)):
         r = rows[rows["what"] == what]
@@ -254,7 +254,7 @@ def label_languages(df: DataFrame, model: LanguageModel, text_col: str = "text",
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    return df.mapInArrow(label, StructType([*df.schema.fields, *_parse_datatype_string(schema).fields]))
+    return small_batches(df).mapInArrow(label, StructType([*df.schema.fields, *_parse_datatype_string(schema).fields]))
 
 
 def held_out(id_col: Column) -> Column:

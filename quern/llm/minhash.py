@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_name, hash_filter, materialize, maybe_in, table, text_or_empty
+from quern.llm.common import free_name, hash_filter, materialize, maybe_in, small_batches, table, text_or_empty
 from quern.llm.components import connected_components
 
 BANDS, ROWS = 30, 5
@@ -152,7 +152,7 @@ def _sketch(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             columns = [*b.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "uid", "th", "n", "digest", "sig", "keys"])
 
-    return slim.mapInArrow(sketch, f"doc_id {kind}, uid long, th long, n long, digest binary, sig binary, keys array<long>")
+    return small_batches(slim).mapInArrow(sketch, f"doc_id {kind}, uid long, th long, n long, digest binary, sig binary, keys array<long>")
 
 
 def _text_hash(col: str):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLOCK_BITS, hash_filter, materialize, maybe_in, table, text_or_empty
+from quern.llm.common import BLOCK_BITS, hash_filter, materialize, maybe_in, small_batches, table, text_or_empty
 from quern.llm.run_index import RunIndex
 
 LENGTH, GRAM = 100, 40
@@ -124,7 +124,7 @@ def _chunks(texts: list[bytes | None], length: int) -> Iterator[list[tuple[int,
 
 
 def _raw(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), text_or_empty(F.col(f"`{text_col}`")).cast("binary").alias("body"))
+    return small_batches(df).select(F.col(f"`{id_col}`").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), text_or_empty(F.col(f"`{text_col}`")).cast("binary").alias("body"))
 
 
 def _repeated_anchors(raw: DataFrame, length: int, gram: int) -> DataFrame:
