@@ -118,6 +118,12 @@ def vector_to_string(spark, d):
     return v.select("vec_id", X.vector_to_string(F.transform(F.slice("x", 1, 8), lambda a: F.round(a * 1000).cast("bigint"))).alias("line"))
 
 
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda a: CAST(CAST(round(a * 1000) AS BIGINT) AS VARCHAR)), ' ') AS line FROM embeddings")
+def vector_to_string_whole(spark, d):
+    """As vector_to_string, of every component."""
+    return vectors(spark, d).select("vec_id", X.vector_to_string(F.transform("x", lambda a: F.round(a * 1000).cast("bigint"))).alias("line"))
+
+
 @query(f"WITH {V}, t AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN (vec_id + i) % 5 = 0 THEN x[i + 1] ELSE 0 END) AS y FROM v), e AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(y) AS y FROM t) SELECT vec_id, pos, round(y, 6) + 0 AS value FROM e")
 def densify(spark, d):
     v = vectors(spark, d)
@@ -126,18 +132,29 @@ def densify(spark, d):
     return dense(s.select("vec_id", X.densify("ids", "vals", 64).alias("x")))
 
 
-@query(f"WITH {V}, e AS (SELECT vec_id, label, unnest(range(8)) AS pos, unnest(x[1:8]) AS y FROM v) SELECT vec_id, CAST(label AS DOUBLE) AS label, pos, round(CAST(round(y, 4) AS FLOAT), 4) AS value FROM e")
-def libsvm_parse(spark, d):
-    """Lines of ``label id:val``, one-based, written from the vectors and parsed back."""
+def libsvm_round_trip(v):
+    """vec_id, label, pos, value: the components of ``x`` as lines of libsvm and parsed back."""
     from quern.sources.text import parse_libsvm
 
-    body = F.array_join(F.transform(F.slice("x", 1, 8), lambda v, i: F.concat(F.format_string("%d", i + 1), F.lit(":"), F.format_string("%.4f", F.round(v, 4)))), " ")
-    lines = vectors(spark, d).select("vec_id", F.concat_ws(" ", F.col("label").cast("string"), body).alias("line"))
+    body = F.array_join(F.transform("x", lambda v, i: F.concat(F.format_string("%d", i + 1), F.lit(":"), F.format_string("%.4f", F.round(v, 4)))), " ")
+    lines = v.select("vec_id", F.concat_ws(" ", F.col("label").cast("string"), body).alias("line"))
     label, ids, vals = parse_libsvm(F.col("line"), one_based_ids=True)
     e = lines.select("vec_id", label.alias("label"), F.explode(F.arrays_zip(ids.alias("i"), vals.alias("v"))).alias("e"))
     return e.select("vec_id", "label", F.col("e.i").cast("bigint").alias("pos"), F.round(F.col("e.v"), 4).alias("value"))
 
 
+@query(f"WITH {V}, e AS (SELECT vec_id, label, unnest(range(8)) AS pos, unnest(x[1:8]) AS y FROM v) SELECT vec_id, CAST(label AS DOUBLE) AS label, pos, round(CAST(round(y, 4) AS FLOAT), 4) AS value FROM e")
+def libsvm_parse(spark, d):
+    """Lines of ``label id:val``, one-based, written from the vectors and parsed back."""
+    return libsvm_round_trip(vectors(spark, d).withColumn("x", F.slice("x", 1, 8)))
+
+
+@query(f"WITH {V}, e AS (SELECT vec_id, label, unnest(range(len(x))) AS pos, unnest(x) AS y FROM v) SELECT vec_id, CAST(label AS DOUBLE) AS label, pos, round(CAST(round(y, 4) AS FLOAT), 4) + 0 AS value FROM e")
+def libsvm_parse_whole(spark, d):
+    """As libsvm_parse, of every component."""
+    return libsvm_round_trip(vectors(spark, d))
+
+
 @query("SELECT l_returnflag AS grp, round(-sum(p * log2(p)), 6) + 0 AS value FROM (SELECT l_returnflag, count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag) AS p FROM lineitem GROUP BY l_returnflag, l_linenumber) GROUP BY 1")
 def label_entropy(spark, d):
     n = read(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber").count()
