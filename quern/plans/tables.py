@@ -185,6 +185,14 @@ def asof_version(spark, d):
     return C.asof_version(s, 16)
 
 
+@query("""WITH s AS (SELECT user_id, CAST(day(ts) - 1 AS BIGINT) AS clk, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, arg_max(clk, clk) AS clk, arg_max(n, clk) AS n FROM s WHERE clk <= 16 GROUP BY user_id""")
+def asof_version_whole(spark, d):
+    """As asof_version, of every event: a version is a day of a user, and the gaps are those of the data."""
+    e = read(spark, d, "events").select("user_id", (F.dayofmonth("ts") - 1).cast("bigint").alias("clk"))
+    return C.asof_version(e.groupBy("user_id", "clk").agg(F.count(F.lit(1)).alias("n")), 16, "user_id")
+
+
 @query(f"WITH {U} SELECT min(clk) AS min_clk FROM (SELECT worker, max(clk) AS clk FROM u WHERE clk < 10 + worker GROUP BY worker)")
 def vector_clock_min(spark, d):
     return C.vector_clock_min(updates(spark, d).where("clk < 10 + worker"))
@@ -275,6 +283,20 @@ def table_clock_e2e(spark, d):
     return t.snapshot(worker=0)
 
 
+@query()
+def table_clock_whole(spark, d):
+    """As table_clock_e2e, through every clock of the events."""
+    from quern.operators.table import TableConfig, TableGroup
+
+    group = TableGroup(spark, workers=4, fold_every=2)
+    t = group.create_table("w", TableConfig(staleness=1))
+    for c in range(updates(spark, d).agg(F.max("clk")).first()[0] + 1):
+        t.inc_frame(updates(spark, d).where(F.col("clk") == c))
+        for w in range(4):
+            group.clock(w)
+    return t.snapshot(worker=0).select("row_id", "col_id", r6(F.col("value")).alias("value"))
+
+
 @query()
 def stream_table_e2e(spark, d):
     """The update log as a file stream, folded batch by batch into versioned snapshots."""
@@ -303,3 +325,4 @@ from quern.plans.registry import ORACLES  # noqa: E402
 
 ORACLES["stream_table_e2e"] = f"WITH {U} {SUMS} GROUP BY ALL"
 ORACLES["table_clock_e2e"] = f"WITH {U} SELECT row_id, col_id, sum(delta) AS value FROM u WHERE clk < 2 OR (clk = 2 AND worker = 0) GROUP BY ALL HAVING sum(delta) <> 0"
+ORACLES["table_clock_whole"] = f"WITH {U} SELECT row_id, col_id, round(sum(delta), 6) + 0 AS value FROM u WHERE clk < (SELECT max(clk) FROM u) OR worker = 0 GROUP BY ALL HAVING sum(delta) <> 0"
