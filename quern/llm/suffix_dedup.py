@@ -19,8 +19,9 @@ input. Exact, and in these steps:
 
 Defined results: a null text is an empty one; texts shorter than ``length`` lose nothing;
 null ids order first, and rows of one id by their place in the input; of rows that repeat,
-all but the first go whole; an empty table gives an empty result. The places in the input
-must be the same at each read, as those of files are.
+all but the first go whole; an empty table gives an empty result. Passes are joined on the
+number of a row, so it must not depend on how a read is dealt to tasks: it is made of file
+and row index where a table is read (number_rows), else written once with the texts.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLOCK_BITS, hash_filter, materialize, maybe_in, small_batches, table, text_or_empty
+from quern.llm.common import BLOCK_BITS, free_name, hash_filter, materialize, maybe_in, small_batches, table, text_or_empty
 from quern.llm.run_index import RunIndex
 
 LENGTH, GRAM = 100, 40
@@ -123,8 +124,21 @@ def _chunks(texts: list[bytes | None], length: int) -> Iterator[list[tuple[int,
         yield parts
 
 
-def _raw(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return small_batches(df).select(F.col(f"`{id_col}`").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), text_or_empty(F.col(f"`{text_col}`")).cast("binary").alias("body"))
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df``, read from files and not joined or exploded since, with the long column ``name``: number of the file and index of the row in it."""
+    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())  # one name a file
+    path, at, number, file = (free_name(df, f"row_{x}") for x in ("path", "at", "number", "file"))
+    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), f"{number} long, {file} string")
+    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+    met = placed.join(F.broadcast(numbers), F.col(path) == F.col(file))
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftleft(number, 33).bitwiseOR(F.col(at)).alias(name))
+
+
+def _raw(df: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    """doc_id, uid, body: the same at each read."""
+    uid = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    raw = small_batches(df).select(F.col(f"`{id_col}`").alias("doc_id"), uid.alias("uid"), text_or_empty(F.col(f"`{text_col}`")).cast("binary").alias("body"))
+    return raw if row_col else materialize(raw, "texts")
 
 
 def _repeated_anchors(raw: DataFrame, length: int, gram: int) -> DataFrame:
@@ -250,9 +264,8 @@ def _hashed(segments: DataFrame, length: int) -> DataFrame:
     return later.select(F.col("first.uid").alias("uid"), at.alias("b"), (at + length).alias("e"))
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """uid, spans: for each row that loses bytes an array of (b, e), neither merged nor in order."""
-    raw = _raw(df, id_col, text_col)
+def repeated_spans(raw: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """uid, spans: for each row of ``raw`` (doc_id, uid, body) that loses bytes an array of (b, e), neither merged nor in order."""
     occ = materialize(_occurrences(raw, materialize(_repeated_anchors(raw, length, gram), "anchors"), length, gram), "segments")
     first = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "uid", "start")
     order = F.struct(~F.col("doc_id").isNull(), "doc_id", "uid", "start")
@@ -279,11 +292,14 @@ def _merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """doc_id, body (the bytes that stay), n_bytes, n_removed, n_spans of each row."""
-    spans = repeated_spans(df, id_col, text_col, **how)
-    raw = _raw(df, id_col, text_col).withColumn("h", F.xxhash64("uid"))
-    flagged = maybe_in(raw, "h", hash_filter(spans.select(F.xxhash64("uid").alias("h"))), "loses")
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, **how) -> DataFrame:
+    """doc_id, body (the bytes that stay), n_bytes, n_removed, n_spans of each row.
+
+    ``row_col``: a long that no two rows share and that each read gives alike; without it the texts are written once.
+    """
+    raw = _raw(df, id_col, text_col, row_col)
+    spans = repeated_spans(raw, **how)
+    flagged = maybe_in(raw.withColumn("h", F.xxhash64("uid")), "h", hash_filter(spans.select(F.xxhash64("uid").alias("h"))), "loses")
     whole = flagged.where("not loses").select("doc_id", "body", F.octet_length("body").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"))
     met = flagged.where("loses").select("doc_id", "uid", "body").join(spans.withColumnRenamed("uid", "u"), F.col("uid") == F.col("u"), "left").select("doc_id", "body", "spans")
     kind = df.schema[id_col].dataType.simpleString()
@@ -308,5 +324,5 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = cut_repeats(table(spark, sf_dir, "documents"))
+    cut = cut_repeats(number_rows(table(spark, sf_dir, "documents"), "row"), row_col="row")
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))

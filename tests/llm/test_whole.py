@@ -1,7 +1,11 @@
 """Operators must do the whole job on tables that sampling or moved rows would upset."""
 
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
+from quern.llm import suffix_dedup
 from quern.llm.url_filter import fit_ratio, judge_urls
 
 
@@ -23,3 +27,37 @@ def test_url_examples_are_bounded_and_alike_however_dealt(spark):
     rows = spark.range(900).select(F.format_string("http://s%d.x/%d", F.col("id") % 300, F.col("id") % 300).alias("url"), F.when(F.col("id") % 2 == 0, "allow").otherwise("block").alias("decided"))
     a, b = (fit_ratio(rows.repartition(k), 50) for k in (1, 6))
     assert a.accepted.probability == b.accepted.probability and a.rejected.probability == b.rejected.probability and a.cut == b.cut
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_suffix_dedup_when_reads_are_dealt_anew(spark, tmp_path, monkeypatch, numbered):
+    """Each pass splits the files otherwise, as when executors come and go."""
+    passage = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(12))
+    texts = [hashlib.sha256(f"doc {i}".encode()).hexdigest() * 2 + passage[i % 7 : 500 + i % 11] + hashlib.sha256(f"end {i}".encode()).hexdigest() for i in range(160)]
+    d = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8, "doc_id").write.option("parquet.block.size", 4096).parquet(f"{d}/documents.parquet")
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(t[s : s + 100])
+        want[i] = hashlib.sha256("".join(c for c, g in zip(t, gone) if not g).encode()).hexdigest()
+    sizes, real = iter([1 << 30, 2000, 9000, 1 << 30] * 9), suffix_dedup.materialize
+
+    def dealt_anew(df, tag):
+        out = real(df, tag)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(next(sizes)))
+        return out
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(suffix_dedup, "materialize", dealt_anew)
+    try:
+        if numbered:
+            got = suffix_dedup.op6_suffix_dedup(spark, d)
+        else:
+            got = suffix_dedup.cut_repeats(spark.read.parquet(f"{d}/documents.parquet")).withColumn("kept_sha256", F.sha2("body", 256))
+        assert {r["doc_id"]: r["kept_sha256"] for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
