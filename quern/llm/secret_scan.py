@@ -13,8 +13,10 @@ Length-aware false-discovery control. Random tokens have uniform p-values, other
 up near 0, and how well they separate depends on the length. So in each (encoding,
 length band) the corpus-wide p-values are binned; the bins above 1/2 estimate how many
 tokens are random (Storey), and the lowest threshold is taken at which the estimated
-share of non-random tokens among those reported stays within ``fdr``. The table of bins
-has a fixed size whatever the corpus.
+share of non-random tokens among those reported, one more than estimated, stays within
+``fdr``: so at any threshold few tokens prove nothing. Bands that reach no threshold alone are
+judged together with the others of their encoding, and what is left then with that of
+the other encodings. The table of bins has a fixed size whatever the corpus.
 
 Defined results: a null text counts as empty and has no spans; positions count code
 points, ends are exclusive; equal starts order as assign, access, hex, random; repeated
@@ -164,21 +166,33 @@ def scan_texts(df: DataFrame, text_col: str = "text", token_length: int = TOKEN_
     return out.select(*columns, base.alias(spans_name), F.when(F.size(t0) > 0, tokens).otherwise(nothing).alias(tokens_name))
 
 
+def _lowest(bins: list[int], fdr: float) -> float | None:
+    """The lowest threshold at which the non-random tokens reported, and one more, stay within ``fdr``."""
+    random = 2 * sum(bins[BINS // 2 :])
+    for i in range(BINS):
+        reported = sum(bins[i:])
+        false = max(0.0, reported - random * (BINS - i) / BINS) + 1
+        if false <= fdr * reported:
+            return i / BINS
+    return None
+
+
 def thresholds(scanned: DataFrame, tokens_col: str = "tokens", fdr: float = 0.05) -> dict[tuple[str, int], float]:
     """Lowest accepted p-value for each (encoding, length band) of all tokens; bounded, one row per bin."""
     t = scanned.select(F.explode(F.col(tokens_col)).alias("t")).select("t.encoding", band(F.col("t.n")).alias("band"), F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     counts: dict[tuple[str, int], list[int]] = {}
     for r in t.groupBy("encoding", "band", "bin").count().collect():
         counts.setdefault((r["encoding"], r["band"]), [0] * BINS)[r["bin"]] = r["count"]
-    out = {}
-    for key, bins in counts.items():
-        random = 2 * sum(bins[BINS // 2 :])
-        for i in range(BINS):
-            reported = sum(bins[i:])
-            false = max(0.0, reported - random * (BINS - i) / BINS)
-            if reported and false <= fdr * reported:
-                out[key] = i / BINS
-                break
+    out: dict[tuple[str, int], float] = {}
+    for pool in (lambda key: key, lambda key: key[0], lambda key: None):
+        groups: dict = {}
+        for key in counts:
+            if key not in out:
+                groups.setdefault(pool(key), []).append(key)
+        for keys in groups.values():
+            limit = _lowest([sum(n) for n in zip(*(counts[key] for key in keys))], fdr)
+            if limit is not None:
+                out |= dict.fromkeys(keys, limit)
     return out
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import suffix_dedup
+from quern.llm.secret_scan import thresholds
 from quern.llm.url_filter import fit_ratio, judge_urls
 
 
@@ -61,3 +62,16 @@ def test_suffix_dedup_when_reads_are_dealt_anew(spark, tmp_path, monkeypatch, nu
         assert {r["doc_id"]: r["kept_sha256"] for r in got.collect()} == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_secret_thresholds_of_few_tokens(spark):
+    """One token proves nothing, however large its p; few of a band are judged with the others of their encoding."""
+    kind = "id int, tokens array<struct<s:int,e:int,encoding:string,n:int,p:double>>"
+    token = lambda n, p: (0, n, "base62", n, p)
+    assert thresholds(spark.createDataFrame([(1, [token(30, 0.9)])], kind)) == {}
+    bands = [20, 30, 40, 60, 80, 120, 160, 240, 330, 460]
+    rows = [(n, [token(n, (i + 0.5) / 12) for i in range(12)]) for n in bands] + [(0, [token(900, 0.45)])]
+    got = thresholds(spark.createDataFrame(rows, kind))
+    assert len(got) == 11 and got["base62", 10] <= 0.45
+    junk = [(i, [token(900, 0.001)] * 40) for i in range(25)]
+    assert 0 < thresholds(spark.createDataFrame(rows + junk, kind))["base62", 10] <= 0.45
