@@ -13,24 +13,62 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset a temporary one is made, in local mode only: executors elsewhere could not read it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def _written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts lineage and fixes values such as monotonically_increasing_id(), so that a
     recomputed task cannot disagree with an earlier one.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, tag)[0]
+
+
+class Scratch:
+    """Tables of the shared scratch folder that an operator needs for a while only."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def materialize(self, df: DataFrame, tag: str) -> DataFrame:
+        """As materialize(); the table goes with clear()."""
+        out, path = _written(df, tag)
+        self.paths.append((tag, path))
+        return out
+
+    def clear(self, *tags: str) -> None:
+        """Delete the tables, or those of ``tags``. Whatever is read from now on must be written elsewhere already."""
+        jvm = self.spark._jvm
+        for tag, path in list(self.paths):
+            if not tags or tag in tags:
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self.paths.remove((tag, path))
+
+
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df``, read from files and not joined or exploded since, with the long column ``name``: number of the file and index of the row in it."""
+    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())  # one name a file
+    path, at, number, file = (free_name(df, f"row_{x}") for x in ("path", "at", "number", "file"))
+    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), f"{number} long, {file} string")
+    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+    met = placed.join(F.broadcast(numbers), F.col(path) == F.col(file))
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftleft(number, 33).bitwiseOR(F.col(at)).alias(name))
 
 
 #: Bytes of one Arrow batch handed to a Python worker; it holds a batch two or three times over.

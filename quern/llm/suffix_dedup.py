@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLOCK_BITS, free_name, hash_filter, materialize, maybe_in, small_batches, table, text_or_empty
+from quern.llm.common import BLOCK_BITS, free_name, hash_filter, materialize, maybe_in, number_rows, small_batches, table, text_or_empty
 from quern.llm.run_index import RunIndex
 
 LENGTH, GRAM = 100, 40
@@ -124,16 +124,6 @@ def _chunks(texts: list[bytes | None], length: int) -> Iterator[list[tuple[int,
         yield parts
 
 
-def number_rows(df: DataFrame, name: str) -> DataFrame:
-    """``df``, read from files and not joined or exploded since, with the long column ``name``: number of the file and index of the row in it."""
-    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())  # one name a file
-    path, at, number, file = (free_name(df, f"row_{x}") for x in ("path", "at", "number", "file"))
-    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), f"{number} long, {file} string")
-    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
-    met = placed.join(F.broadcast(numbers), F.col(path) == F.col(file))
-    return met.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftleft(number, 33).bitwiseOR(F.col(at)).alias(name))
-
-
 def _raw(df: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
     """doc_id, uid, body: the same at each read."""
     uid = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()

@@ -279,20 +279,48 @@ def test_run_index_random():
             seen |= set(windows)
 
 
-def test_line_dedup(docs, empty):
+@pytest.mark.parametrize("how", [{}, {"common": 1, "slots": 1024}])
+def test_line_dedup(docs, empty, how):
     order = sorted(docs.collect(), key=lambda r: key(r["doc_id"]))
     seen, want = [], Counter()
     for r in order:
         lines, kept = (r["text"] or "").split("\n"), []
         for line in lines:
-            s = shingle_sets([(0, line)])[0]
+            s = set(WORD.findall(line.translate(FOLD)))
             if not (s and any(5 * len(s & o) >= 4 * len(s | o) for o in seen)):
                 kept.append(line)
             if s:
                 seen.append(s)
         want[(r["doc_id"], "\n".join(kept), len(lines), len(lines) - len(kept))] += 1
-    assert Counter(tuple(r) for r in drop_lines(docs).collect()) == want
-    assert drop_lines(empty).count() == 0
+    assert Counter(tuple(r) for r in drop_lines(docs, **how).collect()) == want
+    assert drop_lines(empty, **how).count() == 0
+
+
+@pytest.mark.parametrize("common", [1, 4, 256])
+def test_line_dedup_of_many_alike_lines(spark, common):
+    """Lines of a small vocabulary, where every word is common and many sets are just alike or just not."""
+    import random
+
+    rng = random.Random(12)
+    base = [[f"v{rng.randint(0, 60)}" for _ in range(rng.randint(1, 30))] for _ in range(40)]
+    lines = []
+    for _ in range(500):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"v{rng.randint(0, 60)}"
+        lines.append(" ".join(w))
+    rows = [(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(50)]
+    seen, want = [], {}
+    for i, t in rows:
+        sets = [set(x.split()) for x in t.split("\n")]
+        kept = []
+        for x, s in zip(t.split("\n"), sets):
+            if not any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+                kept.append(x)
+            seen.append(s)
+        want[i] = "\n".join(kept)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["text"] for r in drop_lines(df, common=common).collect()} == want
 
 
 def test_piece_codec(docs, empty):
