@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,42 +27,41 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def _written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts lineage and fixes values such as monotonically_increasing_id(), so that a
     recomputed task cannot disagree with an earlier one.
     """
-    return _written(df, tag)[0]
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 class Scratch:
-    """Tables of the shared scratch folder that an operator needs for a while only."""
+    """Materialized tables that an operator needs for a while only."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.tables = spark, []
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """``table``, which materialize() has given; it goes with clear()."""
+        self.tables.append(table)
+        return table
 
     def materialize(self, df: DataFrame, tag: str) -> DataFrame:
-        """As materialize(); the table goes with clear()."""
-        out, path = _written(df, tag)
-        self.paths.append((tag, path))
-        return out
+        return self.keep(materialize(df, tag))
 
-    def clear(self, *tags: str) -> None:
-        """Delete the tables, or those of ``tags``. Whatever is read from now on must be written elsewhere already."""
+    def clear(self, *tables: DataFrame) -> None:
+        """Delete ``tables``, or all. Whatever is read from now on must be written elsewhere already."""
         jvm = self.spark._jvm
-        for tag, path in list(self.paths):
-            if not tags or tag in tags:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-                self.paths.remove((tag, path))
+        for t in tables or self.tables:
+            p = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.tables = [t for t in self.tables if tables and all(t is not x for x in tables)]
 
 
 def number_rows(df: DataFrame, name: str) -> DataFrame:
@@ -81,6 +84,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(), with batches of bounded bytes, by workers that give memory back at the end of a task."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return small_batches(df).mapInArrow(lean, schema)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings, with a run-length index for what is repetitive.
+"""Removal of long repeated byte strings, by matching statistics from run-length indexes.
 
 A byte goes if a ``length``-byte string over it also starts earlier (smaller id, or same
 row and earlier start); overlaps count, matches never cross rows, and all is judged on the
@@ -11,10 +11,12 @@ input. Exact, and in these steps:
 2. A second pass emits the segments of repeated anchors, as places and hashes. Equal segments
    are one from here on, known by the first: of the others every byte goes, at once.
 3. What is left are different segments of one anchor - the ends of matches. A third pass
-   reads their bytes, they are dealt out by anchor, and each task builds run-compressed Burrows-Wheeler indexes of a few
-   megabytes, in which every segment is streamed to find which of its strings an earlier
-   segment has (run_index). Segments of an anchor that has more of them than ``crowd`` go by
-   the hashes of their strings instead, pre-aggregated, so that no anchor fills a task.
+   reads their bytes and they are dealt out by anchor, a few hundred kilobytes at a time.
+   Hashes of the strings tell which may be repeated; the first of each make the text of a
+   run-compressed Burrows-Wheeler index with sampled run ends, the later ones are streamed
+   through it, and what has a match of ``length`` bytes or more by its matching statistics
+   goes (run_index). Segments of an anchor that has more of them than ``crowd`` go by
+   128-bit hashes of their strings, pre-aggregated, so that no anchor fills a task.
 4. The spans meet the texts; only rows that lose bytes are shuffled.
 
 Defined results: a null text is an empty one; texts shorter than ``length`` lose nothing;
@@ -26,7 +28,6 @@ and row index where a table is read (number_rows), else written once with the te
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,18 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLOCK_BITS, free_name, hash_filter, materialize, maybe_in, number_rows, small_batches, table, text_or_empty
+from quern.llm.common import BLOCK_BITS, Scratch, hash_filter, map_arrow, materialize, maybe_in, number_rows, table, text_or_empty
 from quern.llm.run_index import RunIndex
 
 LENGTH, GRAM = 100, 40
 #: Bytes that are looked at together; longer texts are looked at in overlapping parts.
 CHUNK = 1_000_000
-INDEX_BYTES = 1_500_000
+#: Bytes of segments that are looked at together in the end.
+INDEX_BYTES = 600_000
 #: Different segments of one anchor beyond which their strings are hashed.
 CROWD = 2000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_OTHER = np.random.default_rng(98).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -107,6 +110,49 @@ class Segments:
         return [self.data[b : b + n + self.length - 1] for b, n in zip(self.at[keep].tolist(), self.strings[keep].tolist())]
 
 
+def strings_of(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every ``length``-byte string of the bodies the body, the place in it, and two hashes."""
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    x = np.frombuffer(b"".join(bodies), np.uint8)
+    counts = np.maximum(sizes - length + 1, 0)
+    body = np.repeat(np.arange(len(bodies)), counts)
+    place = np.arange(len(body)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = (np.cumsum(sizes) - sizes)[body] + place
+    power, inverse = np.cumprod(np.full(len(x), _BASE)) * _BACK, (np.cumprod(np.full(len(x), _BACK)) * _BASE)[at] if len(at) else None
+    hashes = []
+    for of_byte in (Segments._bytes, _OTHER):
+        prefix = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(of_byte[x] * power, out=prefix[1:])
+        hashes.append(_mix((prefix[at + length] - prefix[at]) * inverse).view(np.int64) if len(at) else np.zeros(0, np.int64))
+    return body, place, *hashes
+
+
+def _runs(flags: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the stretches of ``flags`` that lie in one body."""
+    new = np.concatenate([[True], body[1:] != body[:-1]])
+    before, after = np.concatenate([[False], flags[:-1]]) & ~new, np.concatenate([flags[1:], [False]]) & ~np.concatenate([new[1:], [True]])
+    return np.flatnonzero(flags & ~before), np.flatnonzero(flags & ~after) + 1
+
+
+def later_strings(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(body, begin, end) of stretches of the bodies' strings that are in an earlier body (or earlier in the same one)."""
+    body, place, h, _ = strings_of(bodies, length)
+    _, first, of, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    known = np.zeros(len(h), bool)
+    known[first] = True
+    again = times[of] > 1
+    b, e = _runs(again & known, body)
+    texts = [bodies[i][p : p + n + length - 1] for i, p, n in zip(body[b].tolist(), place[b].tolist(), (e - b).tolist())]
+    b, e = _runs(again & ~known, body)
+    queries = [bodies[i][p : p + n + length - 1] for i, p, n in zip(body[b].tolist(), place[b].tolist(), (e - b).tolist())]
+    hit = np.zeros(len(h), bool)
+    if queries:
+        for x, y, lengths in zip(b.tolist(), e.tolist(), RunIndex(texts).matching_statistics(queries)[0]):
+            hit[x:y] = lengths[: y - x] >= length
+    b, e = _runs(hit, body)
+    return body[b], place[b], place[b] + (e - b)
+
+
 def _chunks(texts: list[bytes | None], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
     """Parts of at most about CHUNK bytes; the strings of a long text are dealt out, each to one part."""
     parts, size = [], 0
@@ -127,7 +173,7 @@ def _chunks(texts: list[bytes | None], length: int) -> Iterator[list[tuple[int,
 def _raw(df: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
     """doc_id, uid, body: the same at each read."""
     uid = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
-    raw = small_batches(df).select(F.col(f"`{id_col}`").alias("doc_id"), uid.alias("uid"), text_or_empty(F.col(f"`{text_col}`")).cast("binary").alias("body"))
+    raw = df.select(F.col(f"`{id_col}`").alias("doc_id"), uid.alias("uid"), text_or_empty(F.col(f"`{text_col}`")).cast("binary").alias("body"))
     return raw if row_col else materialize(raw, "texts")
 
 
@@ -140,7 +186,7 @@ def _repeated_anchors(raw: DataFrame, length: int, gram: int) -> DataFrame:
                 h, n = np.unique(Segments(parts, length, gram).anchor, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
-    return raw.select("body").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    return map_arrow(raw.select("body"), count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
 def _bitmap(hashes: DataFrame) -> tuple[np.ndarray, int]:
@@ -175,7 +221,7 @@ def _occurrences(raw: DataFrame, anchors: DataFrame, length: int, gram: int) ->
                     columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array(s.start[keep]), pa.array(s.strings[keep]), pa.array(s.anchor[keep]), pa.array(s.digests(keep))]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "uid", "start", "strings", "anchor", "digest"])
 
-    return raw.mapInArrow(emit, f"doc_id {kind}, uid long, start long, strings long, anchor long, digest long")
+    return map_arrow(raw, emit, f"doc_id {kind}, uid long, start long, strings long, anchor long, digest long")
 
 
 def _bodies(raw: DataFrame, mixed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -195,7 +241,7 @@ def _bodies(raw: DataFrame, mixed: DataFrame, length: int, gram: int) -> DataFra
                 if len(keep):
                     yield pa.RecordBatch.from_arrays([pa.array(uids[s.row[keep]]), pa.array(s.start[keep]), pa.array(s.bytes_of(keep), pa.binary())], ["u", "s", "body"])
 
-    read = raw.select("uid", "body").mapInArrow(emit, "u long, s long, body binary")
+    read = map_arrow(raw.select("uid", "body"), emit, "u long, s long, body binary")
     return mixed.join(read, (F.col("first.uid") == F.col("u")) & (F.col("first.start") == F.col("s"))).select("anchor", "first", "kinds", "body")
 
 
@@ -206,14 +252,9 @@ def _indexed(segments: DataFrame, length: int) -> DataFrame:
     dealt = dealt.select("anchor", F.col("first.uid").alias("uid"), F.col("first.start").alias("start"), "body")
 
     def spans(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        u, b, e = [], [], []
-        for (uid, start, _), hit in zip(rows, RunIndex([r[2] for r in rows], length).repeated()):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            for x, y in zip(edge[::2], edge[1::2]):
-                u.append(uid)
-                b.append(start + int(x))
-                e.append(start + int(y) + length - 1)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.int64())], ["uid", "b", "e"])
+        body, b, e = later_strings([r[2] for r in rows], length)
+        uids, starts = (np.array([r[k] for r in rows], np.int64)[body] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(uids), pa.array(starts + b), pa.array(starts + e + length - 1)], ["uid", "b", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
@@ -228,48 +269,48 @@ def _indexed(segments: DataFrame, length: int) -> DataFrame:
         if rows:
             yield spans(rows)
 
-    return dealt.mapInArrow(run, "uid long, b long, e long")
+    return map_arrow(dealt, run, "uid long, b long, e long")
 
 
-def _hashed(segments: DataFrame, length: int) -> DataFrame:
+def _hashed(segments: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """As _indexed(), for anchors of very many segments: strings are known by 128-bit hashes."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            anchors, firsts, bodies = (b.column(i) for i in range(3))
-            take, at, h = [], [], []
-            for i, body in enumerate(bodies.to_pylist()):
-                for k in range(len(body) - length + 1):
-                    take.append(i)
-                    at.append(k)
-                    h.append(hashlib.blake2b(body[k : k + length], digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([firsts.take(pa.array(take, pa.int64())), pa.array(at, pa.int64()), pa.array(h, pa.binary())], ["first", "k", "h"])
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                b = batch.slice(i, 2000)
+                body, at, g, h = strings_of(b.column(1).to_pylist(), length)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(body)), pa.array(at), pa.array(g), pa.array(h)], ["first", "k", "g", "h"])
 
     kind = segments.schema["first"].dataType.simpleString()
-    each = materialize(segments.select("anchor", "first", "body").mapInArrow(strings, f"first {kind}, k long, h binary"), "strings")
+    each = scratch.keep(materialize(map_arrow(segments.select("first", "body"), strings, f"first {kind}, k long, g long, h long"), "strings"))
     place = F.struct(~F.col("first.null_id"), F.col("first.doc_id"), F.col("first.uid"), (F.col("first.start") + F.col("k")).alias("at"))
-    firsts = materialize(each.groupBy(F.col("h").alias("g")).agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.col("p.uid").alias("fu"), F.col("p.at").alias("fa")), "first-strings")
+    firsts = scratch.keep(materialize(each.groupBy(F.col("g").alias("fg"), F.col("h").alias("fh")).agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fg", "fh", F.col("p.uid").alias("fu"), F.col("p.at").alias("fa")), "first-strings"))
     at = F.col("first.start") + F.col("k")
-    later = each.join(firsts, F.col("h") == F.col("g")).where((F.col("first.uid") != F.col("fu")) | (at != F.col("fa")))
+    later = each.join(firsts, (F.col("g") == F.col("fg")) & (F.col("h") == F.col("fh"))).where((F.col("first.uid") != F.col("fu")) | (at != F.col("fa")))
     return later.select(F.col("first.uid").alias("uid"), at.alias("b"), (at + length).alias("e"))
 
 
 def repeated_spans(raw: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """uid, spans: for each row of ``raw`` (doc_id, uid, body) that loses bytes an array of (b, e), neither merged nor in order."""
-    occ = materialize(_occurrences(raw, materialize(_repeated_anchors(raw, length, gram), "anchors"), length, gram), "segments")
+    scratch = Scratch(raw.sparkSession)
+    keep = scratch.keep
+    occ = keep(materialize(_occurrences(raw, keep(materialize(_repeated_anchors(raw, length, gram), "anchors")), length, gram), "segments"))
     first = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "uid", "start")
     order = F.struct(~F.col("doc_id").isNull(), "doc_id", "uid", "start")
     kinds = occ.groupBy("anchor", "digest").agg(F.min_by(first, order).alias("first"), F.count(F.lit(1)).alias("n"))
-    kinds = materialize(kinds, "kinds")
-    copied = materialize(kinds.where("n > 1").select(F.col("anchor").alias("a"), F.col("digest").alias("g"), "first.uid", "first.start").withColumnsRenamed({"uid": "fu", "start": "fs"}), "copied")
+    kinds = keep(materialize(kinds, "kinds"))
+    copied = keep(materialize(kinds.where("n > 1").select(F.col("anchor").alias("a"), F.col("digest").alias("g"), "first.uid", "first.start").withColumnsRenamed({"uid": "fu", "start": "fs"}), "copied"))
     copies = occ.select("anchor", "digest", "uid", "start", "strings").join(copied, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("g")))
     copies = copies.where("uid <> fu or start <> fs").select("uid", F.col("start").alias("b"), (F.col("start") + F.col("strings") + length - 1).alias("e"))
-    many = materialize(kinds.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed")
-    mixed = materialize(kinds.join(many, F.col("anchor") == F.col("a")).select("anchor", "digest", "first", "kinds"), "mixed-kinds")
-    bodies = materialize(_bodies(raw, mixed, length, gram), "bodies")
-    ends = _indexed(bodies.where(F.col("kinds") <= crowd).select("anchor", "first", "body"), length).unionByName(_hashed(bodies.where(F.col("kinds") > crowd).select("anchor", "first", "body"), length))
+    many = keep(materialize(kinds.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed"))
+    mixed = keep(materialize(kinds.join(many, F.col("anchor") == F.col("a")).select("anchor", "digest", "first", "kinds"), "mixed-kinds"))
+    bodies = keep(materialize(_bodies(raw, mixed, length, gram), "bodies"))
+    ends = _indexed(bodies.where(F.col("kinds") <= crowd).select("anchor", "first", "body"), length).unionByName(_hashed(bodies.where(F.col("kinds") > crowd).select("anchor", "first", "body"), length, scratch))
     spans = copies.unionByName(ends)
-    return materialize(spans.groupBy("uid").agg(F.collect_list(F.struct("b", "e")).alias("spans")), "spans")  # a row's own spans
+    out = materialize(spans.groupBy("uid").agg(F.collect_list(F.struct("b", "e")).alias("spans")), "spans")  # a row's own spans
+    scratch.clear()
+    return out
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -310,7 +351,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
                 count.append(len(runs))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, count))], ["doc_id", "body", "n_bytes", "n_removed", "n_spans"])
 
-    return whole.unionByName(met.mapInArrow(cut, f"doc_id {kind}, body binary, n_bytes long, n_removed long, n_spans long"))
+    return whole.unionByName(map_arrow(met, cut, f"doc_id {kind}, body binary, n_bytes long, n_removed long, n_spans long"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,20 +263,44 @@ def test_suffix_dedup(docs, empty, how, monkeypatch):
     assert cut_repeats(empty, **how).count() == 0
 
 
-def test_run_index_random():
+def test_matching_statistics():
+    """Lengths and places against brute force, and few runs where the strings are alike."""
     import random
 
     from quern.llm.run_index import RunIndex
 
     rng = random.Random(3)
-    for _ in range(100):
+    for _ in range(150):
+        k = rng.choice([1, 2, 3, 4])
+        strings = [bytes(rng.choices(range(k), k=rng.randint(0, 30))) for _ in range(rng.randint(0, 10))]
+        queries = [bytes(rng.choices(range(rng.choice([k, k + 1])), k=rng.randint(0, 25))) for _ in range(rng.randint(0, 5))]
+        index = RunIndex(strings)
+        for q, lengths, places in zip(queries, *index.matching_statistics(queries)):
+            for i in range(len(q)):
+                n = max(n for n in range(len(q) - i + 1) if n == 0 or any(q[i : i + n] in s for s in strings))
+                assert lengths[i] == n
+                assert not n or bytes((index.text[places[i] : places[i] + n] - 1).astype(np.uint8)) == q[i : i + n]
+    base = bytes(rng.choices(range(97, 123), k=140))
+    alike = RunIndex([bytes(b if rng.random() > 0.02 else 97 for b in base) for _ in range(500)])
+    assert alike.runs < 0.1 * alike.size
+
+
+def test_later_strings():
+    import random
+
+    from quern.llm.suffix_dedup import later_strings
+
+    rng = random.Random(6)
+    for _ in range(150):
         n = rng.choice([1, 2, 3, 5, 8])
-        strings = [bytes(rng.choices(range(rng.choice([1, 2, 3])), k=rng.randint(0, 30))) for _ in range(rng.randint(1, 12))]
-        seen = set()
-        for s, hit in zip(strings, RunIndex(strings, n).repeated()):
-            windows = [s[i : i + n] for i in range(max(0, len(s) - n + 1))]
-            assert list(hit) == [w in seen for w in windows]
-            seen |= set(windows)
+        bodies = [bytes(rng.choices(range(rng.choice([1, 2, 3])), k=rng.randint(0, 30))) for _ in range(rng.randint(1, 12))]
+        seen, want = set(), set()
+        for i, s in enumerate(bodies):
+            for j in range(len(s) - n + 1):
+                if s[j : j + n] in seen:
+                    want.add((i, j))
+                seen.add(s[j : j + n])
+        assert {(i, j) for i, b, e in zip(*later_strings(bodies, n)) for j in range(b, e)} == want
 
 
 @pytest.mark.parametrize("how", [{}, {"common": 1, "slots": 1024}])
