@@ -108,10 +108,11 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns = [F.col(f"`{c}`") for c in df.columns]
     alone = tagged.where(~F.col(flag)).select(*columns)
     suspects = tagged.where(F.col(flag)).withColumn(sha, text_digest(text_col))
-    keep = suspects.groupBy(F.col(sha).alias("_s")).agg(F.max(f"`{id_col}`").alias("_k"))
+    s, k = (free_name(suspects, f"keep_{x}") for x in ("sha256", "id"))
+    keep = suspects.groupBy(F.col(sha).alias(s)).agg(F.max(f"`{id_col}`").alias(k))
     keep = materialize(keep, "copy-keepers")
     # The id is part of the join key, which spreads a hot text over all tasks.
-    stay = suspects.join(keep, (F.col(sha) == F.col("_s")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_k")), "left_semi")
+    stay = suspects.join(keep, (F.col(sha) == F.col(s)) & F.col(f"`{id_col}`").eqNullSafe(F.col(k)), "left_semi")
     stay = stay.dropDuplicates([sha]).select(*columns)
     return alone.unionByName(stay)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_name, small_batches, table
+from quern.llm.common import free_name, map_arrow, table
 
 #: Script, first and last code point; other letters are script 0.
 SCRIPTS = [
@@ -45,24 +45,23 @@ PER_LANGUAGE = 3000
 SWITCH = 12.0
 #: A language uses a script when it has this share of the language's letters.
 SCRIPT_SHARE = 0.01
-CHARS, WORDS = 2_000_000, 3_000_000
+#: Characters that are cut into words at a time, and words that are labelled together; both bound a worker's memory.
+CHARS, WORDS = 700_000, 1_500_000
 _SPACE = 32
 
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: whether it is a letter, its lower case, its script."""
-    top = 0x20000
-    letter = np.ones(0x110000, bool)
+    letter = np.zeros(0x110000, bool)
     lower = np.arange(0x110000, dtype=np.uint32)
-    for i in range(top):
+    for i in range(0xE0000):  # nothing beyond is a letter
         c = chr(i)
         letter[i] = c.isalpha()
         if letter[i]:
             d = c.lower()
             if len(d) == 1:
                 lower[i] = ord(d)
-    letter[0xE0000:] = False
     script = np.zeros(0x110000, np.uint8)
     names = list(dict.fromkeys(n for n, _, _ in SCRIPTS))
     for n, a, b in SCRIPTS:
@@ -127,10 +126,10 @@ class LanguageModel:
         order = np.argsort(-counts, kind="stable")
         begin = (np.cumsum(counts) - counts)[order]
         many = counts[order]
-        best, stay = np.zeros(words, np.uint8), np.zeros(scores.shape, bool)
+        best, stay = np.zeros(words, np.int32), np.zeros(scores.shape, bool)
         alive = len(many) - np.searchsorted(many[::-1], np.arange(int(many[0]) if len(many) else 0), "right")
         v = np.zeros((len(self.languages), len(many)), np.float32)
-        last = np.zeros(len(many), np.uint8)
+        last = np.zeros(len(many), np.int32)
         for t, n in enumerate(alive):
             at = begin[:n] + t
             if t:
@@ -145,7 +144,7 @@ class LanguageModel:
             ended = many[:n] == t + 1
             if ended.any():
                 last[:n][ended] = v.argmax(axis=0)[ended]
-        states = np.zeros(words, np.uint8)
+        states = np.zeros(words, np.int32)
         now = last
         for t in range(len(alive) - 1, -1, -1):
             n = alive[t]
@@ -223,7 +222,7 @@ def fit_language_model(examples: DataFrame, per_language: int = PER_LANGUAGE, sw
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), what)), pa.array(x), pa.array(y), pa.array(table_[x, y])], ["what", "lang", "bucket", "n"])
 
     # At most languages x buckets rows, whatever the corpus.
-    rows = small_batches(picked).mapInArrow(count, "what long, lang long, bucket long, n double").groupBy("what", "lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_arrow(picked, count, "what long, lang long, bucket long, n double").groupBy("what", "lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     grams, uses = np.zeros((len(languages), len(ORDERS) * BUCKETS)), np.zeros((len(languages), scripts))
     for what, target in ((0, grams), (1, uses)):
         r = rows[rows["what"] == what]
@@ -254,7 +253,7 @@ def label_languages(df: DataFrame, model: LanguageModel, text_col: str = "text",
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    return small_batches(df).mapInArrow(label, StructType([*df.schema.fields, *_parse_datatype_string(schema).fields]))
+    return map_arrow(df, label, StructType([*df.schema.fields, *_parse_datatype_string(schema).fields]))
 
 
 def held_out(id_col: Column) -> Column:

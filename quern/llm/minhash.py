@@ -31,16 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_name, hash_filter, materialize, maybe_in, small_batches, table, text_or_empty
+from quern.llm.common import free_name, hash_filter, map_arrow, materialize, maybe_in, table, text_or_empty
 from quern.llm.components import connected_components
 
 BANDS, ROWS = 30, 5
 SHINGLE = 5
-CHARS = 4_000_000
+#: Characters that are made into sets at a time; they bound a worker's memory.
+CHARS = 1_000_000
 #: Sets in a block of a bucket; two blocks are compared at a time.
 BLOCK = 256
-#: Largest dense incidence matrix of a cell; beyond it pairs are intersected one by one.
-DENSE = 40_000_000
+#: Entries of the dense part of a cell's incidence matrix that is multiplied at a time.
+DENSE = 4_000_000
 _U = np.uint64
 _BASE, _SEED = _U(0x9E3779B97F4A7C15), 20240517
 
@@ -152,7 +153,7 @@ def _sketch(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             columns = [*b.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "uid", "th", "n", "digest", "sig", "keys"])
 
-    return small_batches(slim).mapInArrow(sketch, f"doc_id {kind}, uid long, th long, n long, digest binary, sig binary, keys array<long>")
+    return map_arrow(slim, sketch, f"doc_id {kind}, uid long, th long, n long, digest binary, sig binary, keys array<long>")
 
 
 def _text_hash(col: str):
@@ -176,7 +177,7 @@ def _similar_signatures(pairs: DataFrame, sets: DataFrame, least: float) -> Data
             keep = pa.array((same - 1 / 256) / (1 - 1 / 256) >= least - slack)
             yield b.select(["u", "v"]).filter(keep)
 
-    return both.mapInArrow(test, "u long, v long")
+    return map_arrow(both, test, "u long, v long")
 
 
 def _full_sets(df: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -190,7 +191,7 @@ def _full_sets(df: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], ["h", "d", "members"])
 
     # Copies of one text agree on (th, digest); one of them is enough.
-    found = hashed.select("text", "th").mapInArrow(sets, "h long, d binary, members binary").groupBy("h", "d").agg(F.first("members").alias("members"))
+    found = map_arrow(hashed.select("text", "th"), sets, "h long, d binary, members binary").groupBy("h", "d").agg(F.first("members").alias("members"))
     return wanted.join(found, (F.col("th") == F.col("h")) & (F.col("digest") == F.col("d"))).select("uid", "members")
 
 
@@ -214,7 +215,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, df: DataFrame, width: int, part:
                 keep.append(part[1] * same >= part[0] * (len(x) + len(y) - same))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(test, "u long, v long")
+    return map_arrow(both, test, "u long, v long")
 
 
 def _cell_links(left: DataFrame, sets: DataFrame, df: DataFrame, width: int, part: tuple[int, int]) -> DataFrame:
@@ -240,28 +241,24 @@ def _cell_links(left: DataFrame, sets: DataFrame, df: DataFrame, width: int, par
 
         n, sizes = len(sets), np.array([len(s) for s in sets])
         _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = np.cumsum(times > 1)
-        dense = n * int(shared[-1]) <= DENSE
-        if dense:
-            x = np.zeros((n, int(shared[-1]) + 1), np.float32)
-            common = times[code] > 1
-            x[np.repeat(np.arange(n), sizes)[common], shared[code[common]]] = 1
-            same = (x @ x.T).astype(np.int64)
-            hit = np.triu(part[1] * same >= part[0] * (sizes[:, None] + sizes - same), 1)
-            pairs = zip(*(a.tolist() for a in np.nonzero(hit)))
-        else:
-            pairs = ((i, j) for i in range(n) for j in range(i + 1, n))
+        common = times[code] > 1
+        row, column = np.repeat(np.arange(n), sizes)[common], (np.cumsum(times > 1) - 1)[code[common]]
+        by_column = np.argsort(column, kind="stable")
+        row, column = row[by_column], column[by_column]
+        columns = int(column[-1]) + 1 if len(column) else 0
+        same, width = np.zeros((n, n), np.int64), max(1, min(columns, DENSE // n))
+        for a in range(0, columns, width):
+            i, j = np.searchsorted(column, [a, a + width])
+            x = np.zeros((n, width), np.float32)
+            x[row[i:j], column[i:j] - a] = 1
+            same += (x @ x.T).astype(np.int64)
+        hit = np.triu(part[1] * same >= part[0] * (sizes[:, None] + sizes - same), 1)
         out = []
-        for i, j in pairs:
+        for i, j in zip(*(a.tolist() for a in np.nonzero(hit))):
             a, b = find(comps[i]), find(comps[j])
-            if a == b:
-                continue
-            if not dense:
-                k = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if part[1] * k < part[0] * (sizes[i] + sizes[j] - k):
-                    continue
-            root[max(a, b)] = min(a, b)
-            out.append((comps[i], comps[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((comps[i], comps[j]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +281,7 @@ def _cell_links(left: DataFrame, sets: DataFrame, df: DataFrame, width: int, par
         if comps:
             yield flush()
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return map_arrow(dealt, run, "u long, v long")
 
 
 def near_duplicates(
@@ -342,11 +339,12 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     columns = [F.col(f"`{c}`") for c in df.columns]
     alone = tagged.where(~F.col(flag)).select(*columns)
     # Equal (id, text) rows are one component, so one verdict holds for all of them.
-    verdict = inside.groupBy(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).agg(F.max("stays").alias("_s"))
+    i, t, v = (free_name(tagged, f"near_{x}") for x in ("id", "text", "stays"))
+    verdict = inside.groupBy(F.col("doc_id").alias(i), F.col("th").alias(t)).agg(F.max("stays").alias(v))
     verdict = materialize(verdict, "near-verdicts")
-    suspects = tagged.where(F.col(flag)).join(verdict, F.col(f"`{id_col}`").eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_t")), "left")
-    rest = suspects.where("_s is null").select(*columns)
-    stay = suspects.where("_s").dropDuplicates([id_col, h]).select(*columns)
+    suspects = tagged.where(F.col(flag)).join(verdict, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.col(h) == F.col(t)), "left")
+    rest = suspects.where(F.col(v).isNull()).select(*columns)
+    stay = suspects.where(F.col(v)).dropDuplicates([id_col, h]).select(*columns)
     return alone.unionByName(rest).unionByName(stay)
 
 

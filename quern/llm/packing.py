@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, small_batches, table
+from quern.llm.common import map_arrow, materialize, table
 
 #: Entries kept in a worker's word cache before it starts afresh.
 CACHE_WORDS = 400_000
@@ -156,7 +156,7 @@ def tokenize_pieces(
                     [batch.column(0).take(pa.array(take)), *(c.cast(t) for c, t in zip(cols, types))], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
                 )
 
-    return small_batches(slim).mapInArrow(pieces, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, task long, rank long")
+    return map_arrow(slim, pieces, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, task long, rank long")
 
 
 def plan_bins(
