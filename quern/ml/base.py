@@ -24,17 +24,27 @@ class Solver(ABC):
 
 
 def sum_arrays(df: DataFrame, columns: list[str], part) -> dict[str, np.ndarray]:
-    """``part`` maps each pandas batch to named arrays; their sums over all batches.
+    """``part`` maps each pandas batch to named arrays; their sums over all batches."""
 
-    Each task sends one row an array, of the model's size, and Spark adds them up before the driver sees any.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> dict[str, np.ndarray]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
             if len(b):
                 for k, v in part(b).items():
                     total[k] = total[k] + v if k in total else np.asarray(v, float)
+        return total
+
+    return sum_partitions(df, columns, each)
+
+
+def sum_partitions(df: DataFrame, columns: list[str], part) -> dict[str, np.ndarray]:
+    """``part`` maps the pandas batches of a whole partition to named arrays; their sums over all partitions.
+
+    Each task sends one row an array, of the model's size, and Spark adds them up before the driver sees any.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = part(batches)
         rows = [(k, i, float(x)) for k, v in total.items() for i, x in enumerate(np.ravel(v))]
         shapes = [(k + "#shape", i, float(s)) for k, v in total.items() for i, s in enumerate(np.shape(v))]
         yield pd.DataFrame(rows + shapes, columns=["name", "i", "x"])

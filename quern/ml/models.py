@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.ml.base import Solver, matrix, sum_arrays
+from quern.ml.base import Solver, matrix, sum_arrays, sum_partitions
 from quern.operators.partition import uniform
 
 
@@ -37,6 +37,15 @@ class KMeans:
         rows = points.orderBy(F.xxhash64(F.lit(self.seed), "point_id")).limit(self.k).select("features").collect()
         self.centers = np.array([r["features"] for r in rows], float)
 
+    def load(self, spark, path: str, dim: int) -> None:
+        """Centres from a file of points, a line each."""
+        from quern.sources.text import read_points
+
+        rows = read_points(spark, path, dim).orderBy("point_id").limit(self.k).collect()
+        if len(rows) < self.k:
+            raise ValueError(f"{path} has {len(rows)} centres, {self.k} are needed")
+        self.centers = np.array([r["features"] for r in rows], float)
+
     @staticmethod
     def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = (x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)
@@ -58,23 +67,25 @@ class KMeans:
         return self.assign(points).agg(F.sum("dist")).first()[0]
 
     def step(self, batch: DataFrame) -> None:
-        """One clock: each partition is a worker, in order of point_id."""
+        """One clock: each partition is a worker, in order of point_id. Centres and counts are carried through its Arrow batches."""
         centers, counts, rate, k = self.centers, self.counts, self.rate, self.k
 
-        def part(b: pd.DataFrame) -> dict[str, np.ndarray]:
-            b = b.sort_values("point_id")
-            x = matrix(b["features"])
-            at, _ = KMeans.nearest(x, centers)
-            moved, n = np.zeros_like(centers), np.zeros(k)
-            for c in np.unique(at):
-                p = x[at == c]
-                eta = rate / (counts[c] + np.arange(1, len(p) + 1) + rate)
-                keep = np.concatenate([np.cumprod((1 - eta)[::-1])[::-1][1:], [1.0]])
-                center = np.prod(1 - eta) * centers[c] + ((eta * keep)[:, None] * p).sum(0)
-                n[c], moved[c] = len(p), (center - centers[c]) * len(p)
-            return {"moved": moved, "n": n}
-
-        got = sum_arrays(batch, ["point_id", "features"], part)
+        def part(batches: Iterator[pd.DataFrame]) -> dict[str, np.ndarray]:
+            moving, n = centers.astype(float), np.zeros(k)
+            for b in batches:
+                if not len(b):
+                    continue
+                x = matrix(b["features"])
+                at, _ = KMeans.nearest(x, centers)
+                for c in np.unique(at):
+                    p = x[at == c]
+                    eta = rate / (counts[c] + n[c] + np.arange(1, len(p) + 1) + rate)
+                    keep = np.concatenate([np.cumprod((1 - eta)[::-1])[::-1][1:], [1.0]])
+                    moving[c] = np.prod(1 - eta) * moving[c] + ((eta * keep)[:, None] * p).sum(0)
+                    n[c] += len(p)
+            return {"moved": (moving - centers) * n[:, None], "n": n}
+
+        got = sum_partitions(batch.sortWithinPartitions("point_id"), ["point_id", "features"], part)
         if got:
             self.centers = centers + got["moved"] / np.maximum(got["n"], 1)[:, None]
             self.counts = counts + got["n"]

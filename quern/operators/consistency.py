@@ -89,3 +89,91 @@ def squeeze_zeros(updates: DataFrame) -> DataFrame:
 
 def dirty_rows(updates: DataFrame) -> DataFrame:
     return updates.select("row_id").distinct()
+
+
+def server_version_min(acks: DataFrame, version: str = "clk", server: str = "server") -> DataFrame:
+    """One row: the least over servers of the latest version that each has acknowledged, min_version."""
+    return acks.groupBy(server).agg(F.max(version).alias("v")).agg(F.min("v").alias("min_version"))
+
+
+def importance_while_applying(base: DataFrame, updates: DataFrame, order: list[str]) -> DataFrame:
+    """Per row the sum of |u / x| over its updates in ``order``, x being the cell as the update finds it (|u| where it is 0).
+
+    The windows are by cell, so that a row with many cells is dealt over tasks.
+    """
+    found = updates.join(base.select("row_id", "col_id", "value"), ["row_id", "col_id"], "left")
+    before = Window.partitionBy("row_id", "col_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = (F.coalesce("value", F.lit(0)) + F.coalesce(F.sum("delta").over(before), F.lit(0))).cast("double")
+    u = F.col("delta").cast("double")
+    each = found.withColumn("x", x).withColumn("part", F.when(F.col("x") == 0, F.abs(u)).otherwise(F.abs(u / F.col("x"))))
+    return each.groupBy("row_id").agg(F.sum("part").alias("importance"))
+
+
+def partial_push(meta: DataFrame, k: int, factor: int = 5, policy: str = "magnitude", seed: int = 0) -> DataFrame:
+    """``k`` of the first ``k * factor`` dirty rows by id: the most important ones, or by hash where the policy is random."""
+    candidates = meta.orderBy("row_id").limit(k * factor)
+    keys = [F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("row_id").cast("string"))), F.col("row_id")] if policy == "random" else [F.desc("importance"), F.asc("row_id")]
+    return candidates.orderBy(*keys).limit(k)
+
+
+def server_rows(base: DataFrame, updates: DataFrame) -> DataFrame:
+    """Rows as a server keeps them: whether updates made them dirty, and their importance (0 without any)."""
+    meta = row_log_meta(updates).select("row_id", "importance", F.lit(True).alias("d"))
+    rows = base.select("row_id").union(meta.select("row_id")).distinct().join(meta, "row_id", "left")
+    return rows.select("row_id", F.coalesce("d", F.lit(False)).alias("dirty"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
+def flush_batches(updates: DataFrame, size: int, order: list[str]) -> DataFrame:
+    """``updates`` with the number of the early flush, ``flush``, that each leaves with: a worker flushes every ``size`` updates of a clock."""
+    place = F.row_number().over(Window.partitionBy("worker", "clk").orderBy(*order))
+    return updates.withColumn("flush", F.floor((place - 1) / size).cast("bigint"))
+
+
+class Controller:
+    """What a consistency mode lets a reader see, and which updates it sends at the end of a clock.
+
+    This one is plain bounded staleness: everything goes, unordered.
+    """
+
+    def __init__(self, staleness: int = 0, order: str = "fifo", budget_bytes: float = 100e3, batch: int = 1000, own_writes: bool = True):
+        self.staleness, self.order, self.budget_bytes, self.batch, self.own_writes = staleness, order, budget_bytes, batch, own_writes
+
+    def visible(self, updates: DataFrame, clock: int, worker: int | None = None) -> DataFrame:
+        return ssp_view(updates, clock, self.staleness, worker if self.own_writes else None)
+
+    def sent(self, pending: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+        """The rows whose pending updates are sent: row_id."""
+        return dirty_rows(pending)
+
+
+class PushController(Controller):
+    """The server pushes what it has: a read takes the dirty rows anew and the others from the copy at hand."""
+
+    def refresh(self, copy: DataFrame, table: DataFrame, dirty: DataFrame) -> DataFrame:
+        """``copy`` of ``table`` with the rows of ``dirty`` (row_id) as they are now."""
+        return copy.join(dirty.select("row_id").distinct(), "row_id", "left_anti").unionByName(push_dirty_rows(table, dirty))
+
+
+class AggregateController(PushController):
+    """Sends in the order of a policy, up to a budget of bytes; importance is the sum of |u|, 8 bytes a changed cell."""
+
+    def importance(self, pending: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+        return row_log_meta(pending)
+
+    def sent(self, pending: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+        meta = self.importance(pending, cached).withColumn("bytes", 8 * F.col("n_cols"))
+        return budget_cut(meta, self.budget_bytes, policy=self.order).select("row_id")
+
+
+class AggregateByValueController(AggregateController):
+    """As AggregateController, importance being relative to the cached value where there is one: |u / x|."""
+
+    def importance(self, pending: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+        meta = row_log_meta(pending)
+        if cached is None:
+            return meta
+        x = F.col("value").cast("double")
+        u = F.abs(F.col("delta").cast("double"))
+        met = pending.join(cached.select("row_id", "col_id", "value"), ["row_id", "col_id"], "left")
+        by_value = met.groupBy("row_id").agg(F.sum(F.when(F.coalesce(x, F.lit(0.0)) == 0, u).otherwise(u / F.abs(x))).alias("importance"))
+        return meta.drop("importance").join(by_value, "row_id")

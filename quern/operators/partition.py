@@ -50,3 +50,25 @@ def split_trees(trees: int, workers: int) -> list[int]:
     """Trees of each worker: the floor, and one more for as many as remain."""
     base, more = divmod(trees, workers)
     return [base + (i < more) for i in range(workers)]
+
+
+def draws(spark: SparkSession, n: int, k: int, seed: int) -> DataFrame:
+    """``k`` draws with replacement of 0 .. n - 1: draw, idx. Draw i is a hash of seed and i, so that reruns and partitions do not matter."""
+    word = F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("id").cast("string"))), 1, 8)
+    return spark.range(k).select(F.col("id").alias("draw"), F.pmod(F.conv(word, 16, 10).cast("bigint"), F.lit(n)).alias("idx"))
+
+
+def sample_with_replacement(df: DataFrame, n: int, k: int, seed: int, index: str) -> DataFrame:
+    """``draw`` and the row of each draw, of ``df`` whose column ``index`` counts its ``n`` rows from 0."""
+    return draws(df.sparkSession, n, k, seed).join(df, F.col("idx") == F.col(index)).drop("idx")
+
+
+def range_join(points: DataFrame, ranges: DataFrame, at: str, begin: str, end: str, width: float) -> DataFrame:
+    """The points in each range, begin <= at < end: an equi-join on bins of ``width``, filtered; no cross join.
+
+    A range is in as many bins as it covers, so ``width`` should be about the length of the ranges.
+    """
+    bins = F.sequence(F.floor(F.col(begin) / width), F.floor(F.col(end) / width))
+    cut = ranges.where(F.col(begin) < F.col(end)).withColumn("range_bin", F.explode(bins))
+    met = points.withColumn("range_bin", F.floor(F.col(at) / width)).join(cut, "range_bin")
+    return met.where((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop("range_bin")

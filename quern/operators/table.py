@@ -8,7 +8,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.consistency import ssp_view
+from quern.operators.consistency import AggregateByValueController, AggregateController, Controller, PushController
 from quern.operators.rows import CODECS, RowCodec, SparseRow
 from quern.schema import PARAM_LONG, UPDATE
 
@@ -33,8 +33,7 @@ class TableConfig:
     snapshot_dir: str | None = None
     push_budget_kb: float = 100.0
     push_rows: int = 100
-    candidate_factor: int = 5
-    mbps: float = 40.0
+    by_value: bool = False  # importance relative to the values, where updates are sent by importance
 
 
 @dataclass
@@ -70,6 +69,29 @@ def explode_dense_batch(df: DataFrame, start: str = "start", deltas: str = "delt
     return df.select(*rest, start, F.posexplode(deltas).alias("i", "delta")).select(*rest, (F.col(start) + F.col("i")).alias("col_id"), "delta")
 
 
+def combine_thread_updates(updates: DataFrame) -> DataFrame:
+    """Updates as the workers' thread buffers leave them at the end of a clock: one a worker, clock and cell."""
+    return updates.groupBy("worker", "clk", "row_id", "col_id").agg(F.sum("delta").alias("delta"))
+
+
+def overwrite_column(cells: DataFrame, col_id: int, value: Column, low: float, high: float) -> DataFrame:
+    """Cells with the values of one column set, within bounds."""
+    return cells.withColumn("value", F.when(F.col("col_id") == col_id, F.least(F.greatest(value, F.lit(low)), F.lit(high))).otherwise(F.col("value")))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one in local mode only, as executors elsewhere could not read it."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        where = "file://" + tempfile.mkdtemp(prefix="quern-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 class ParamTable:
     """One table of a group. Writes append to the log, reads aggregate what the staleness contract shows."""
 
@@ -78,6 +100,7 @@ class ParamTable:
         spark = group.spark
         self.base = spark.createDataFrame([], PARAM_LONG)
         self.log = spark.createDataFrame([], UPDATE)
+        self.waiting: list[tuple] = []  # single updates that are not in ``log`` yet
         self.folded = 0  # log entries of earlier clocks are in ``base``
 
     # -- writes
@@ -90,7 +113,13 @@ class ParamTable:
 
     def batch_inc(self, row_id: int, batch: UpdateBatch, worker: int = 0) -> None:
         clk = self.group.clocks[worker]
-        self.inc_frame(self.group.spark.createDataFrame([(worker, clk, row_id, c, float(d)) for c, d in zip(batch.columns, batch.deltas)], UPDATE))
+        self.waiting += [(worker, clk, row_id, c, float(d)) for c, d in zip(batch.columns, batch.deltas)]
+
+    def flush(self) -> None:
+        """Append the waiting updates to the log, in one frame. Reads and clocks do so."""
+        if self.waiting:
+            some, self.waiting = self.waiting, []
+            self.inc_frame(self.group.spark.createDataFrame(some, UPDATE))
 
     def dense_batch_inc(self, row_id: int, batch: DenseUpdateBatch, worker: int = 0) -> None:
         self.batch_inc(row_id, UpdateBatch(list(range(batch.start, batch.start + len(batch.deltas))), batch.deltas), worker)
@@ -101,24 +130,41 @@ class ParamTable:
 
         No worker: all updates. A range of ids is read by joining the snapshot with it.
         """
+        self.flush()
         if worker is None:
             return self.config.codec.apply(self.base, self.log)
         clock = self.group.clocks[worker] if clock is None else clock
-        own = worker if self.config.own_writes == "at_once" else None
-        return self.config.codec.apply(self.base, ssp_view(self.log, clock, self.config.staleness, own))
+        return self.config.codec.apply(self.base, self.controller.visible(self.log, clock, worker))
 
     def get(self, row_id: int, worker: int | None = None) -> DataFrame:
         return self.snapshot(worker).where(F.col("row_id") == row_id)
 
-    def prefetch(self) -> DataFrame:
-        """A persisted snapshot, read once to fill it; unpersist() forgets it."""
-        df = self.snapshot().persist()
+    @property
+    def row_type(self) -> str:
+        return type(self.config.codec).__name__
+
+    @property
+    def controller(self) -> Controller:
+        """The consistency mode of the configuration."""
+        c = self.config
+        kind = {Consistency.SSP_PUSH: PushController, Consistency.SSP_AGGR: AggregateByValueController if c.by_value else AggregateController}.get(c.consistency, Controller)
+        return kind(c.staleness, c.order, c.push_budget_kb * 1000, c.push_rows, c.own_writes == "at_once")
+
+    def to_send(self, upto: int) -> DataFrame:
+        """row_id of the rows whose updates of clocks below ``upto`` the consistency mode sends now."""
+        self.flush()
+        return self.controller.sent(self.log.where(F.col("clk") < upto), self.base)
+
+    def prefetch(self, rows: list[int] | None = None) -> DataFrame:
+        """A persisted snapshot (of ``rows``, or whole), read once to fill it; unpersist() forgets it. Each call reads anew."""
+        df = (self.snapshot() if rows is None else self.snapshot().where(F.col("row_id").isin(rows))).persist()
         df.count()
         return df
 
     # -- clocks
     def fold(self, upto: int) -> None:
         """Move updates of clocks below ``upto`` into the base and cut the lineage by a checkpoint."""
+        self.flush()
         old = self.log.where(F.col("clk") < upto)
         self.base = self.group.cut(self.config.codec.apply(self.base, old))
         self.log = self.group.cut(self.log.where(F.col("clk") >= upto))
@@ -131,6 +177,41 @@ class ParamTable:
         self.base = self.group.spark.read.schema(PARAM_LONG).parquet(f"{directory}/table={self.name}/clock={clock}")
 
 
+class ThreadBuffer:
+    """A thread's own buffer before a table: updates of a cell add up here, and reach the table's log by flush()."""
+
+    def __init__(self, table: ParamTable, worker: int):
+        self.table, self.worker = table, worker
+        self.cells: dict[tuple[int, int], float] = {}
+
+    def inc(self, row_id: int, col_id: int, delta: float) -> None:
+        self.cells[row_id, col_id] = self.cells.get((row_id, col_id), 0.0) + delta
+
+    def batch_inc(self, row_id: int, batch: UpdateBatch) -> None:
+        for c, d in zip(batch.columns, batch.deltas):
+            self.inc(row_id, c, d)
+
+    def dense_batch_inc(self, row_id: int, batch: DenseUpdateBatch) -> None:
+        for i, d in enumerate(batch.deltas):
+            self.inc(row_id, batch.start + i, d)
+
+    def get(self, row_id: int) -> dict[int, float]:
+        """The row as the worker may see it, with what waits here on top."""
+        out = {r["col_id"]: r["value"] for r in self.table.get(row_id, self.worker).collect()}  # one row
+        for (r, c), d in self.cells.items():
+            if r == row_id:
+                out[c] = out.get(c, 0.0) + d
+        return out
+
+    def flush(self) -> None:
+        rows: dict[int, UpdateBatch] = {}
+        for (r, c), d in self.cells.items():
+            rows.setdefault(r, UpdateBatch()).update(c, d)
+        for r, batch in rows.items():
+            self.table.batch_inc(r, batch, self.worker)
+        self.cells = {}
+
+
 class TableGroup:
     """The tables of a job and one vector clock for all of them."""
 
@@ -178,6 +259,12 @@ class TableGroup:
             while self.clocks[w] < top + most + 1:
                 self.clock(w)
 
+    def resume(self, directory: str, clock: int) -> None:
+        """All tables from their snapshots of ``clock``, and every worker at that clock."""
+        for t in self.tables.values():
+            t.resume(directory, clock)
+        self.clocks = dict.fromkeys(self.clocks, clock)
+
     def register_worker(self) -> int:
         w = max(self.clocks, default=-1) + 1
         self.clocks[w] = self.min_clock if self.clocks else 0
@@ -189,10 +276,7 @@ class TableGroup:
     def cut(self, df: DataFrame) -> DataFrame:
         """Checkpoint in the shared folder, so that lost executors cost a read and nothing more."""
         if self.spark.sparkContext.getCheckpointDir() is None:
-            import tempfile
-
-            where = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
-            self.spark.sparkContext.setCheckpointDir(where)
+            self.spark.sparkContext.setCheckpointDir(shared_folder(self.spark))
         return df.checkpoint()
 
 

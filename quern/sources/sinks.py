@@ -70,3 +70,41 @@ def write_forest(df: DataFrame, path: str) -> None:
         return pd.DataFrame({"tree_id": [int(pdf["tree_id"].iloc[0])], "value": [tree_line(nodes)]})
 
     _write(df.groupBy("tree_id").applyInPandas(line, "tree_id int, value string").orderBy("tree_id").select("value"), path)
+
+
+def write_layers(spark, weights: list, biases: list, prefix: str) -> None:
+    """Weights and biases of a perceptron: ``prefix``.weight<i> with a line a unit, ``prefix``.bias<i> with one a value."""
+    for i, (w, b) in enumerate(zip(weights, biases)):
+        rows = [(k, " ".join(repr(float(v)) for v in unit)) for k, unit in enumerate(w)]
+        _write(spark.createDataFrame(rows, "k int, value string").orderBy("k").select("value"), f"{prefix}.weight{i}")
+        _write(spark.createDataFrame([(k, repr(float(v))) for k, v in enumerate(b)], "k int, value string").orderBy("k").select("value"), f"{prefix}.bias{i}")
+
+
+def read_layers(spark, prefix: str, layers: int) -> tuple[list, list]:
+    """What write_layers() wrote, as arrays."""
+    import numpy as np
+
+    from quern.sources.text import _numbered
+
+    def lines(path: str) -> list[str]:
+        return [r["value"] for r in _numbered(spark, path).orderBy("idx").collect()]  # a model is small
+
+    weights = [np.array([[float(v) for v in x.split()] for x in lines(f"{prefix}.weight{i}")]) for i in range(layers)]
+    return weights, [np.array([float(x) for x in lines(f"{prefix}.bias{i}")]) for i in range(layers)]
+
+
+def kaldi_text(weights: list, biases: list) -> str:
+    """Layers as a text network: affine transforms, sigmoids between and a softmax at the end."""
+    out = ["<Nnet>"]
+    for i, (w, b) in enumerate(zip(weights, biases)):
+        n, m = len(w), len(w[0])
+        rows = "\n".join("  " + " ".join(repr(float(v)) for v in unit) for unit in w)
+        out += [f"<AffineTransform> {n} {m}", " [", rows + " ]", " [ " + " ".join(repr(float(v)) for v in b) + " ]"]
+        out.append(f"<Softmax> {n} {n}" if i == len(weights) - 1 else f"<Sigmoid> {n} {n}")
+    return "\n".join([*out, "</Nnet>"]) + "\n"
+
+
+def write_stats(stats: dict, path: str, spark) -> None:
+    """Counters and timers of a job as ``name: value`` lines, in order of the names."""
+    rows = [(f"{k}: {v}",) for k, v in sorted(stats.items())]
+    _write(spark.createDataFrame(rows, "value string").orderBy("value").coalesce(1), path)

@@ -118,6 +118,17 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(before, "p").select((F.col("before") + F.col("m") - F.col("first")).alias("idx"), "value")
 
 
+def read_client_files(spark: SparkSession, path: str, clients: int, shared: bool = False) -> DataFrame:
+    """Lines of every client's own file ``path.<client>``, or of the one file that all share: client, value."""
+    if shared:
+        return _lines(spark, path).select(F.lit(-1).alias("client"), "value")
+    parts = [_lines(spark, f"{path}.{c}").select(F.lit(c).alias("client"), "value") for c in range(clients)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def read_points(spark: SparkSession, path: str, dim: int, one_based: bool = True) -> DataFrame:
     """K-means points: dense values, or ``label id:val ...``: point_id, features."""
     from quern.functions.vector import densify

@@ -8,15 +8,15 @@ from quern.plans.registry import read
 
 def test_vectors_whole(spark, sf):
     size = read(spark, sf, "embeddings").agg(F.sum(F.size("embedding"))).first()[0]
-    assert catalog.QUERIES["libsvm_parse_whole"](spark, sf).count() == size
-    lines = catalog.QUERIES["vector_to_string_whole"](spark, sf)
+    assert catalog.QUERIES["libsvm_parse"](spark, sf).count() == size
+    lines = catalog.QUERIES["vector_to_string"](spark, sf)
     assert lines.agg(F.sum(F.size(F.split("line", " ")))).first()[0] == size
 
 
 def test_clocks_whole(spark, sf):
     events = read(spark, sf, "events")
-    last, days = catalog.QUERIES["asof_version_whole"](spark, sf), events.groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    last, days = catalog.QUERIES["asof_version"](spark, sf), events.groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     assert last.count() == days.where("day <= 17").select("user_id").distinct().count()
-    total = catalog.QUERIES["table_clock_whole"](spark, sf).agg(F.sum("value")).first()[0]
+    total = catalog.QUERIES["table_clock_e2e"](spark, sf).agg(F.sum("value")).first()[0]
     top = events.agg(F.max(F.dayofmonth("ts"))).first()[0]
     assert abs(total - events.where((F.dayofmonth("ts") < top) | (F.col("event_id") % 4 == 0)).agg(F.sum("value")).first()[0]) < 1e-3
