@@ -13,6 +13,11 @@ vocabulary with such pieces is encoded in one go.
 
 Defined results: a null text is an empty one, of which no pieces come; repeated rows are
 encoded alike; an empty table gives an empty result; other columns are carried untouched.
+
+The model file is one of byte-pair merges: its scores are ranks of merges, not log
+probabilities. Viterbi maximises their sum, as dealt; the file's own library applies merges
+in turn, so the ids differ from that library's in nearly every text, and pieces are about a
+seventh more. Decoding gives the text back either way.
 """
 
 from __future__ import annotations
@@ -135,12 +140,15 @@ def _path(path: str | None) -> str:
 
 
 def _map(df: DataFrame, out: str, kind, convert, path: str) -> DataFrame:
+    """``df`` with the column ``out``, in the place of one that has its name already."""
+    rest = [i for i, c in enumerate(df.columns) if c.lower() != out.lower()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, convert(c, b)], [*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), convert(c, b)], [*(b.schema.names[i] for i in rest), out])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, kind)]))
+    return df.mapInArrow(run, StructType([*(df.schema.fields[i] for i in rest), StructField(out, kind)]))
 
 
 def encode_pieces(df: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", path: str | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 from quern.llm.exact_dedup import ORACLE_OP5, op5_exact_dedup
 from quern.llm.language_id import op4_language_id
 from quern.llm.line_dedup import ORACLE_OP10, op10_line_dedup
-from quern.llm.minhash import op7_minhash_dedup
+from quern.llm.minhash import ORACLE_OP7, op7_minhash_dedup
 from quern.llm.packing import op1_best_fit_packing
 from quern.llm.piece_codec import op9_sentencepiece
 from quern.llm.secret_scan import op3_secret_scan
@@ -26,5 +26,6 @@ QUERIES = {
 
 ORACLES = {
     "op5_exact_dedup": ORACLE_OP5,
+    "op7_minhash_dedup": ORACLE_OP7,
     "op10_line_dedup": ORACLE_OP10,
 }
