@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import vector as X
-from quern.plans.registry import V, WSQL, query, r6, read, sql_weights, vectors, weight, weight_vector
+from quern.plans.registry import V, WSQL, query, r6, read, sql_weights, vectors, weight, weight_vector, written
 from quern.plans.vectors import dense, dot_sql
 
 K = 5
@@ -429,6 +429,7 @@ def mlp_e2e(spark, d):
 def quantile_labels(spark, d):
     """Labels by equal-count quantiles of a score, without gathering the rows: range partitions, their counts, and a rank in each."""
     o = read(spark, d, "orders").select("o_orderkey", "o_totalprice").repartitionByRange("o_totalprice", "o_orderkey").select("*", F.spark_partition_id().alias("p"))
+    o = written(o, "quantiles")  # the numbers of the partitions are met twice
     sizes = o.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"), F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))  # a row a partition
     r = o.join(F.broadcast(before), "p").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("o_totalprice", "o_orderkey")) + F.col("before") - 1)

@@ -62,3 +62,14 @@ def weight_vector(i: int, dim: int = 64):
 
 def sql_weights(i, dim: int = 64) -> str:
     return f"list_transform(range({dim}), lambda k: CAST({WSQL.format(i=i, k='k')} AS DOUBLE))"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what hangs on its partitions is the same at each read."""
+    import uuid
+
+    from quern.operators.table import shared_folder
+
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
