@@ -75,7 +75,7 @@ def number_rows(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch handed to a Python worker; it holds a batch two or three times over.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
