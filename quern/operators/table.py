@@ -79,16 +79,22 @@ def overwrite_column(cells: DataFrame, col_id: int, value: Column, low: float, h
     return cells.withColumn("value", F.when(F.col("col_id") == col_id, F.least(F.greatest(value, F.lit(low)), F.lit(high))).otherwise(F.col("value")))
 
 
+#: By application, the folder made where spark.checkpoint.dir is unset; the setting itself can't be changed in a running session.
+_made: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one in local mode only, as executors elsewhere could not read it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
+        app = spark.sparkContext.applicationId
+        if app not in _made:
+            import tempfile
 
-        where = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", where)
+            _made[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
+        where = _made[app]
     return where.rstrip("/")
 
 
