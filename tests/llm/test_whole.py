@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import suffix_dedup
+from quern.llm import line_dedup, suffix_dedup
 from quern.llm.secret_scan import thresholds
 from quern.llm.url_filter import UrlRatio, fit_ratio, judge_urls, model_text
 
@@ -95,3 +95,40 @@ def test_secret_thresholds_of_few_tokens(spark):
     assert len(got) == 11 and got["base62", 10] <= 0.45
     junk = [(i, [token(900, 0.001)] * 40) for i in range(25)]
     assert 0 < thresholds(spark.createDataFrame(rows + junk, kind))["base62", 10] <= 0.45
+
+
+def test_line_families_of_rare_words_meet_their_first_line_only(spark, monkeypatch):
+    """Sixty alike lines, no word of which is common: pairs grow with the family, not with its square."""
+    made = {}
+
+    def counted(self, df, tag):
+        out = real(self, df, tag)
+        made.setdefault(tag, []).append(out.count())
+        return out
+
+    real = line_dedup.Scratch.materialize
+    monkeypatch.setattr(line_dedup.Scratch, "materialize", counted)
+    family = [f"only{i} " + " ".join(f"word{k}" for k in range(24)) for i in range(60)]
+    other = [" ".join(hashlib.sha256(f"{i}-{k}".encode()).hexdigest() for k in range(9)) for i in range(60)]
+    rows = [(i, f"{a}\n{b}") for i, (a, b) in enumerate(zip(family, other))]
+    raw = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).selectExpr("doc_id", "doc_id uid", "text")
+    gone = {(r["uid"], r["line"]) for r in line_dedup.judge_lines(raw).collect()}
+    assert gone == {(i, 0) for i in range(1, 60)}
+    assert made["tried-pairs"][0] <= 2 * 60 and made["line-pairs"] == [0]
+
+
+def test_line_word_levels_do_not_fill_the_plan(spark):
+    """The driver keeps the text of a plan for every step of a query; the table of levels is in it."""
+    raw = spark.createDataFrame([(1, 1, "a b c\nd")], "doc_id long, uid long, text string")
+    plan = line_dedup.sets_of_lines(raw, [40] * line_dedup.SLOTS, (4, 5))
+    assert len(plan._jdf.queryExecution().executedPlan().toString()) < 3 << 19
+
+
+def test_line_pairs_by_parity_lose_no_link(spark):
+    """Long lines about the threshold: brute force over their words."""
+    words = [f"w{k}" for k in range(130)]
+    lines = [" ".join(words[: 130 - i] + [f"x{i}-{k}" for k in range(i)]) for i in range(0, 40, 3)]
+    sets = [set(x.split()) for x in lines]
+    want = {j for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4}
+    raw = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").selectExpr("doc_id", "doc_id uid", "text")
+    assert 0 < len(want) < len(sets) and {r["uid"] for r in line_dedup.judge_lines(raw).collect()} == want
