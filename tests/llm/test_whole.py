@@ -117,6 +117,23 @@ def test_line_families_of_rare_words_meet_their_first_line_only(spark, monkeypat
     assert made["tried-pairs"][0] <= 2 * 60 and made["line-pairs"] == [0]
 
 
+def test_long_unlike_lines_make_no_pairs(spark, monkeypatch):
+    """Lines of 150 words that share rare ones: the parities must tell what differs in more words than a long has bits."""
+    made = {}
+
+    def counted(self, df, tag):
+        out = real(self, df, tag)
+        made[tag] = out.count()
+        return out
+
+    real = line_dedup.Scratch.materialize
+    monkeypatch.setattr(line_dedup.Scratch, "materialize", counted)
+    words = [sorted(range(600), key=lambda k, i=i: hashlib.md5(f"{i}-{k}".encode()).digest())[:150] for i in range(40)]
+    rows = [(i, " ".join([f"pair{i // 2}", *[f"word{k}" for k in w]])) for i, w in enumerate(words)]
+    raw = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "doc_id uid", "text")
+    assert line_dedup.judge_lines(raw).count() == 0 and made["all-pairs"] == 0
+
+
 def test_line_word_levels_do_not_fill_the_plan(spark):
     """The driver keeps the text of a plan for every step of a query; the table of levels is in it."""
     raw = spark.createDataFrame([(1, 1, "a b c\nd")], "doc_id long, uid long, text string")
