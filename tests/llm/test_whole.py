@@ -149,3 +149,50 @@ def test_line_pairs_by_parity_lose_no_link(spark):
     want = {j for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4}
     raw = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").selectExpr("doc_id", "doc_id uid", "text")
     assert 0 < len(want) < len(sets) and {r["uid"] for r in line_dedup.judge_lines(raw).collect()} == want
+
+
+def test_line_families_of_shifted_prefixes_meet_their_first_line_only(spark, monkeypatch):
+    """Lines of a family lack a word each and have none to three rare ones of their own, which moves the rest of the prefix."""
+    made = {}
+
+    def counted(self, df, tag):
+        out = real(self, df, tag)
+        made.setdefault(tag, []).append(out.count())
+        return out
+
+    real = line_dedup.Scratch.materialize
+    monkeypatch.setattr(line_dedup.Scratch, "materialize", counted)
+    lines = [" ".join([f"word{k}" for k in range(30) if k != i * 7 % 30] + [f"only{i}-{k}" for k in range(i % 4)]) for i in range(150)]
+    raw = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").selectExpr("doc_id", "doc_id uid", "text")
+    assert {r["uid"] for r in line_dedup.judge_lines(raw).collect()} == set(range(1, 150))
+    assert made["line-pairs"][0] <= 15
+
+
+@pytest.mark.parametrize("common", [1, 1 << 20])
+def test_line_files(spark, common):
+    """Under a rare token alone, else with each token after it; nothing else before the last of a key is shared where two sets first meet."""
+    pre, own = [5, 7, 11, 13, 17], 4
+    heads = spark.createDataFrame([(1, 15, pre)], "s long, n int, pre array<long>")
+    got = {(r["key"], r["pos"]) for r in line_dedup._filed(heads, (4, 5), common).collect()}
+    if common == 1:  # each is above it
+        pairs = [(pre[i], pre[j], j - 1) for i in range(own) for j in range(i + 1, own + 1)]
+        want = {(r["k"], r["p"]) for r in spark.createDataFrame(pairs, "t long, u long, p int").selectExpr("xxhash64(t, u) k", "p").collect()}
+    else:
+        want = {(t, i) for i, t in enumerate(pre[:own])}
+    assert got == want
+
+
+def test_line_order_from_a_sample_of_rows(spark, monkeypatch):
+    """Words are counted over some rows only; nothing of the result depends on them."""
+    lines = [" ".join(f"v{(i * 7 + k * k) % 50}" for k in range(4 + i % 9)) for i in range(300)]
+    raw = spark.createDataFrame([(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(100)], "doc_id long, text string").selectExpr("doc_id", "doc_id uid", "text")
+    seen, want = [], set()
+    for i, x in enumerate(lines):
+        s = set(x.split())
+        if any(len(s & o) * 5 >= len(s | o) * 4 for o in seen):
+            want.add((i // 3, i % 3))
+        seen.append(s)
+    monkeypatch.setattr(line_dedup, "COUNTED", 10)
+    drawn = raw.where("pmod(xxhash64(uid), 10) = 0").count()
+    assert 0 < drawn < 100 and 0 < len(want) < 300
+    assert {(r["uid"], r["line"]) for r in line_dedup.judge_lines(raw, common=4).collect()} == want
