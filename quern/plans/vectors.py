@@ -114,7 +114,9 @@ def clamp_nonneg(spark, d):
 
 @query("SELECT vec_id, array_to_string(list_transform(embedding, lambda a: CAST(CAST(round(a * 1000) AS BIGINT) AS VARCHAR)), ' ') AS line FROM embeddings")
 def vector_to_string(spark, d):
-    return vectors(spark, d).select("vec_id", X.vector_to_string(F.transform("x", lambda a: F.round(a * 1000).cast("bigint"))).alias("line"))
+    # Scaled in the table's own floats, as the SQL does: in doubles 0.0125f times 1000 falls short of 12.5.
+    whole = F.transform("embedding", lambda a: F.round(a * F.lit(1000).cast("float")).cast("bigint"))
+    return read(spark, d, "embeddings").select("vec_id", X.vector_to_string(whole).alias("line"))
 
 
 @query(f"WITH {V}, t AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN (vec_id + i) % 5 = 0 THEN x[i + 1] ELSE 0 END) AS y FROM v), e AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(y) AS y FROM t) SELECT vec_id, pos, round(y, 6) + 0 AS value FROM e")

@@ -1,5 +1,6 @@
 """Queries that must meet every row and component of their tables."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quern import catalog
@@ -13,6 +14,17 @@ def test_vectors_whole(spark, sf):
     assert lines.agg(F.sum(F.size(F.split("line", " ")))).first()[0] == size
 
 
+def test_vector_to_string_rounds_in_floats(spark, tmp_path):
+    """Halves that only show in the table's own precision, on both sides of zero, and vectors and components that are missing."""
+    halves = [i / 1000 + 0.0005 for i in range(-1000, 1000)]
+    rows = [(0, halves, 0), (1, [0.0125, None, -0.0125], 1), (2, [], 1), (3, None, 1), (4, [-0.0001, 0.0, 1e6], 2)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.line for r in catalog.QUERIES["vector_to_string"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == dict(duck.execute(catalog.ORACLES["vector_to_string"]).fetchall())
+
+
 def test_clocks_whole(spark, sf):
     events = read(spark, sf, "events")
     last, days = catalog.QUERIES["asof_version"](spark, sf), events.groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
