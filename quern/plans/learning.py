@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,12 +21,16 @@ ASSIGN = f"d AS (SELECT vec_id, x, cid, {DIST} AS dist, row_number() OVER (PARTI
 
 def assigned(spark, d):
     """Each vector with its nearest centre: every point meets the K broadcast centres, in one pass and without a shuffle."""
-    v = vectors(spark, d)
+    v = vectors(spark, d, "embedding")
     c = v.where(F.col("vec_id") < K).agg(F.array_sort(F.collect_list(F.struct(F.col("vec_id").alias("cid"), F.col("x").alias("c")))).alias("cs"))
-    scored = F.transform("cs", lambda s: F.struct(X.sq_distance("x", s["c"]).alias("dist"), s["cid"].alias("cid")))
+    # Both are doubles already, so a component costs one difference a centre.
+    dist = lambda c: X.fsum(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)))
+    scored = F.transform("cs", lambda s: F.struct(dist(s["c"]).alias("dist"), s["cid"].alias("cid")))
     # Ties are judged to nine digits, as the order of summation shows in the last ones.
     scored = F.transform(scored, lambda s: F.struct(F.round(s["dist"], 9).alias("near"), s["cid"].alias("cid"), s["dist"].alias("dist")))
-    return v.crossJoin(F.broadcast(c)).select("vec_id", "x", F.array_min(scored).alias("m")).select("vec_id", "x", "m.cid", "m.dist")
+    a = v.crossJoin(F.broadcast(c.where(F.size("cs") > 0))).select("vec_id", "x", "embedding", F.array_min(scored).alias("m"))
+    # Never null, and said so: else a join on cid tests for nulls below, which takes every distance twice.
+    return a.select("vec_id", "x", "embedding", F.coalesce("m.cid", F.lit(-1).cast("bigint")).alias("cid"), "m.dist")
 
 
 @query(f"WITH {V}, {CENTERS}, {ASSIGN} SELECT vec_id, cid, round(dist, 6) + 0 AS dist FROM a")
@@ -44,20 +51,34 @@ e AS (SELECT cid, j, w, old, unnest(range(64)) AS pos, unnest(x) AS y FROM w),
 s AS (SELECT cid, pos, sum(w * y) AS moved, any_value(old) AS old, count(*) AS n FROM e GROUP BY ALL)"""
 
 
+#: Ranges of ids in which the points of a cluster are numbered: tasks of a bounded share, however few the clusters.
+RANGES = 128
+
+
+def ranged(spark, d):
+    """The assigned vectors and the range that holds their id; written once, as they are counted before they are weighed."""
+    cuts = F.percentile_approx("vec_id", [i / RANGES for i in range(1, RANGES)], 100 * RANGES)
+    bounds = sorted(set(read(spark, d, "embeddings").agg(cuts).first()[0] or []))
+    part = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("vec_id")))
+    return written(assigned(spark, d).select("vec_id", "cid", "embedding", part.alias("part")), "clusters")
+
+
 def moved_centers(spark, d):
     """The sequential update c <- (1 - eta) c + eta x in closed form: point j of n weighs eta_j prod_{i>j} i / (i + lambda).
 
-    The weights are running products over a cluster's points; no vector passes through the window.
+    j is the number in the range and the cluster's count in the ranges before. As lambda is whole, the product over the later points leaves lambda factors.
     """
-    a = assigned(spark, d)
-    w = Window.partitionBy("cid").orderBy("vec_id")
-    o = a.select("vec_id", "cid", F.row_number().over(w).alias("j"))
-    later = F.coalesce(F.sum(F.log(F.col("j") / (F.col("j") + LAM))).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
-    o = o.select("vec_id", (LAM / (F.col("j") + LAM) * F.exp(later)).alias("w"), "j")
-    n = a.join(o, "vec_id").select("cid", "w", "j", F.posexplode("x").alias("pos", "y"))
-    s = n.groupBy("cid", "pos").agg(F.sum(F.col("w") * F.col("y")).alias("moved"), F.sum(F.log(F.col("j") / (F.col("j") + LAM))).alias("log_old"), F.count(F.lit(1)).alias("n"))
+    a = ranged(spark, d)
+    of = Window.partitionBy("cid")
+    before = a.groupBy("part", "cid").agg(F.count(F.lit(1)).alias("m"))
+    before = before.select("part", "cid", (F.sum("m").over(of.orderBy("part")) - F.col("m")).alias("before"), F.sum("m").over(of).alias("n"))  # a row a range and cluster
+    o = a.withColumn("r", F.row_number().over(Window.partitionBy("part", "cid").orderBy("vec_id")))
+    o = o.join(F.broadcast(before), ["part", "cid"]).withColumn("j", F.col("before") + F.col("r"))
+    shrink = lambda j: reduce(mul, [(j + k) / (F.col("n") + k) for k in range(1, int(LAM) + 1)])
+    e = o.select("cid", "n", (LAM / (F.col("j") + LAM) * shrink(F.col("j"))).alias("w"), F.posexplode("embedding").alias("pos", "y"))
+    s = e.groupBy("cid", "n", "pos").agg(F.sum(F.col("w") * F.col("y").cast("double")).alias("moved"))
     c = vectors(spark, d).where(F.col("vec_id") < K).select(F.col("vec_id").alias("cid"), F.posexplode("x").alias("pos", "old_center"))
-    return s.join(c, ["cid", "pos"]).select("cid", F.col("pos").cast("bigint").alias("pos"), "n", (F.exp("log_old") * F.col("old_center") + F.col("moved")).alias("center"))
+    return s.join(c, ["cid", "pos"]).select("cid", F.col("pos").cast("bigint").alias("pos"), "n", (shrink(F.lit(0)) * F.col("old_center") + F.col("moved")).alias("center"))
 
 
 @query(f"WITH {MB} SELECT s.cid, s.pos, round(s.old * c.c[s.pos + 1] + s.moved, 6) + 0 AS center FROM s JOIN c USING (cid)")

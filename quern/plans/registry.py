@@ -43,8 +43,8 @@ def r6(x, digits: int = 6):
     return F.round(x, digits) + F.lit(0.0)
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label")
+def vectors(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label", *more)
 
 
 V = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)"
